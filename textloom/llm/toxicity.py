@@ -2,7 +2,7 @@
 
 Both dictionaries begin with the same ordinary text, so that ordinary windows cost the same under either. The toxic one ends
 with the segments that distinguish toxic training documents, the ordinary one with as many bytes of further ordinary segments. A
-window is a word set in a fixed carrier, so that a frame's fixed costs do not hide what a short word saves; it is toxic when the
+window is a word between two carriers, so that a frame's fixed costs do not hide what a short word saves; it is toxic when the
 toxic dictionary saves at least a calibrated number of bytes. A logistic curve over the document's windows gives the score.
 """
 
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import append_columns, in_fold, texts
+from textloom.llm.simhash import fingerprint
 
 #: At most so many labelled documents of each class train the model, those of least hash; none of over LONGEST characters.
-SAMPLE, LONGEST = 4_000, 100_000
+SAMPLE, LONGEST = 2_000, 100_000
 SHARED_BYTES, OWN_BYTES, LEVEL, CACHE = 8_192, 4_096, 3, 200_000
-CARRIER = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d"
+#: Both dictionaries end with this and a window stands between two of it: a match within costs what it costs in a longer text.
+CARRIER = bytes([*range(1, 9), *range(14, 30)])
 FEATURES = 3
 #: A score of so much rejects a document.
 REJECT = 0.3
@@ -59,23 +61,22 @@ class Windows:
     def gain(self, word: bytes) -> int:
         found = self.known.get(word)
         if found is None:
-            window = CARRIER + b" " + word + b" "
+            window = CARRIER + b" " + word + b" " + CARRIER[:16]
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = found = len(self.ordinary(window)) - len(self.toxic(window))
         return found
 
-    def features(self, text: bytes | None, threshold: int) -> list[float]:
-        """The largest gain, the log of the number of toxic windows, the log of their share of the document."""
+    def gains(self, text: bytes | None) -> tuple[list[int], int]:
+        """The gains of two bytes or more, and the number of windows."""
         gain, words = self.gain, segments(text)
-        most = hits = 0
-        for w in words:
-            g = gain(w)
-            if g > most:
-                most = g
-            if g >= threshold:
-                hits += 1
-        return [min(most, 8) / 8, math.log1p(hits), math.log1p(100 * hits / max(1, len(words)))]
+        return [g for g in map(gain, words) if g > 1], len(words)
+
+
+def features(gains: list[int], windows: int, threshold: int) -> list[float]:
+    """The largest gain, the log of the number of toxic windows, the log of their share of the document."""
+    hits = sum(g >= threshold for g in gains)
+    return [min(max(gains, default=0), 8) / 8, math.log1p(hits), math.log1p(100 * hits / max(1, windows))]
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ class ToxicityModel:
         return Windows(self.ordinary, self.toxic)
 
     def score(self, windows: Windows, text: bytes | None) -> float:
-        x = windows.features(text, self.threshold)
+        x = features(*windows.gains(text), self.threshold)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))))))
 
 
@@ -106,9 +107,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
+def apart(docs: list[bytes], bits: int = 6) -> list[bytes]:
+    """docs without copies, exact or with SimHash fingerprints that differ in few bits: the first of each stays."""
+    docs = list(dict.fromkeys(docs))
+    prints = np.array([fingerprint(t) for t in docs], np.uint64)
+    keep = [i for i in range(len(docs)) if not (np.bitwise_count(prints[:i] ^ prints[i]) <= bits).any()]
+    return [docs[i] for i in keep]
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_docs: int = 3) -> ToxicityModel:
-    """A model of the two classes' training texts. Repeated texts count once. With a class missing, every score is its share."""
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    """A model of the two classes' training texts. Copies count once. With a class missing, every score is the other's share.
+
+    Toxic segments are words that distinguish toxic documents: in at least least_docs of them and in one of fifty, with a
+    z of the difference of shares of least_z or more, and a share four times that among ordinary documents.
+    """
+    toxic, ordinary = apart(toxic), apart(ordinary)
     nt, no = max(1, len(toxic)), max(1, len(ordinary))
     in_toxic, in_ordinary = (Counter(w for t in docs for w in {bare(s) for s in segments(t)} if len(w) > 2) for docs in (toxic, ordinary))
 
@@ -116,20 +129,21 @@ def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_d
         a, b, p = in_toxic[word] / nt, in_ordinary[word] / no, (in_toxic[word] + in_ordinary[word]) / (nt + no)
         return (a - b) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / nt + 1 / no))
 
-    marks = sorted((w for w in in_toxic if in_toxic[w] >= least_docs and z(w) >= least_z and in_toxic[w] / nt >= 4 * in_ordinary[w] / no), key=lambda w: (z(w), w))
+    often = [w for w, n in in_toxic.items() if n >= max(least_docs, nt / 50) and n / nt >= 4 * in_ordinary[w] / no]
+    marks = sorted((w for w in often if z(w) >= least_z), key=lambda w: (z(w), w))
     marked = set(marks)
     common = [w for w, _ in sorted(in_ordinary.items(), key=lambda x: (x[1], x[0])) if w not in marked]
-    own = joined(marks, OWN_BYTES)
-    shared = joined(common, SHARED_BYTES)
+    own, shared = joined(marks, OWN_BYTES), joined(common, SHARED_BYTES)
     filler = joined(common[: max(0, len(common) - shared.count(b" ") + 1)], len(own)) if marks else b" "
-    base = ToxicityModel(shared + filler, shared + own, 2, (0.0,) * (FEATURES + 1))
-    windows, y = base.windows(), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    base = ToxicityModel(shared + filler + CARRIER, shared + own + CARRIER, 2, (0.0,) * (FEATURES + 1))
     if not toxic or not ordinary:
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
         return ToxicityModel(base.ordinary, base.toxic, 2, (math.log((share * 100 + 0.5) / (100 - share * 100 + 0.5)),) + (0.0,) * FEATURES)
+    windows, y = base.windows(), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    gains = [windows.gains(t) for t in toxic + ordinary]
     best = None
-    for threshold in range(2, 8):
-        x = np.array([windows.features(t, threshold) for t in toxic + ordinary])
+    for threshold in range(4, 9):
+        x = np.array([features(*g, threshold) for g in gains])
         w = logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
         loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
