@@ -4,7 +4,7 @@ P(w | h) = L * c(hw) / c(h) + (1 - L) * P(w) and P(w) = M * c(w) / N + (1 - M) /
 frequency of the context. L and M are learned by expectation-maximisation on a deleted part of the training documents, with counts
 from the rest; the model then counts all training documents. All counts are exact and over all training documents.
 
-The corpus is taken in chunks of whole documents. A chunk's distinct n-grams go, as sorted 64-bit hashes in compressed blocks, to
+The corpus is taken in chunks of whole documents. A chunk's distinct n-grams go, as sorted hashes in compressed blocks, to
 shards of the hash space; a shard adds up the counts of all chunks and answers each chunk with the totals of its n-grams. So counting and
 looking up are one shuffle of distinct n-grams per chunk; a hot word is one entry per chunk, and no model is broadcast or collected.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import fold, materialise, texts
 
 #: Tokens of a chunk, about; bytes of text for each shard, about; how many words a task remembers.
-CHUNK, SHARD_BYTES, CACHE = 1_000_000, 32_000_000, 400_000
+CHUNK, SHARD_BYTES, CACHE = 1_000_000, 16_000_000, 300_000
 END = xxhash.xxh3_64_intdigest(b"\n")
 DEALT = "target long, kind int, chunk long, shard int, deleted boolean, a binary, b binary, c binary"
 ANSWERED = "kind int, chunk long, shard int, deleted boolean, a binary, b binary, c binary"
@@ -38,9 +38,10 @@ class Words(dict):
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
+    """56 bits: a shared hash makes two n-grams one, which a few in a hundred thousand of 10**12 do; each further byte is a seventh of the traffic."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(8)
 
 
 def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -70,7 +71,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Rises with the key, so that a chunk's keys of a shard are a stretch."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return ((keys >> np.uint64(24)) * np.uint64(shards)) >> np.uint64(32)
 
 
 class Chunk:
@@ -93,19 +94,15 @@ class Chunk:
         return out
 
 
-def chunked(known: Words, docs: list[list[bytes]]) -> Chunk:
-    lengths = np.array([len(d) + 1 for d in docs])
-    raw = np.empty(int(lengths.sum()), np.uint64)
-    starts = np.cumsum(lengths) - lengths
-    for d, s in zip(docs, starts, strict=True):
-        raw[s : s + len(d)] = np.fromiter(map(known.__getitem__, d), np.uint64, len(d))
-        raw[s + len(d)] = END
-    words, at = np.unique(raw, return_inverse=True)
+def chunked(docs: list[np.ndarray]) -> Chunk:
+    """docs: hashes of each document's words, its end included."""
+    lengths = np.array([len(d) for d in docs])
+    words, at = np.unique(np.concatenate(docs), return_inverse=True)
     words = mixed(words) | np.uint64(1)
     order = np.argsort(words)
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    return Chunk(words[order], back[at], starts)
+    return Chunk(words[order], back[at], np.cumsum(lengths) - lengths)
 
 
 def deal(documents: DataFrame, doc_id: Column, text: Column, part: Column, shards: int) -> DataFrame:
@@ -118,7 +115,7 @@ def deal(documents: DataFrame, doc_id: Column, text: Column, part: Column, shard
 
         def close(p):
             nonlocal number
-            chunk = chunked(known, [w for _, w in waiting[p]])
+            chunk = chunked([w for _, w in waiting[p]])
             name = TaskContext.get().partitionId() << 32 | number
             number += 1
             of, counts = shard_of(chunk.keys, shards), chunk.counts()
@@ -143,8 +140,11 @@ def deal(documents: DataFrame, doc_id: Column, text: Column, part: Column, shard
                 some = batch.slice(at, 256)
                 for i, t, p in zip(some.column(0).to_pylist(), texts(some.column(1)), some.column(2).to_pylist(), strict=True):
                     words = (t or b"").lower().split()
-                    waiting[p].append((i, words))
-                    held[p] += len(words) + 1
+                    hashes = np.empty(len(words) + 1, np.uint64)
+                    hashes[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    hashes[-1] = END
+                    waiting[p].append((i, hashes))
+                    held[p] += len(hashes)
                     if held[p] >= CHUNK:
                         yield close(p)
         for p in waiting:
