@@ -1,9 +1,12 @@
 """All queries of the library but those of the training-data subpackage, and their equivalents in SQL."""
 
+from textloom.plans import corpus, operations, retrieval  # noqa: F401
+from textloom.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
