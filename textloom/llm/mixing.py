@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import WORD, materialise, without
 
-WEIGHTS, SHARE, MOST_EPOCHS, BUCKET_ROWS = (3, 1, 2), 1.5, 2.0, 100_000
+WEIGHTS, SHARE, MOST_EPOCHS, BUCKET_ROWS = (3, 1, 2), 1.5, 2.0, 10_000
 #: Sources are laid out on the driver, one number each; more than this is an error, not a cut.
 MOST_SOURCES = 1_000_000
 
