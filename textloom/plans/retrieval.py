@@ -38,7 +38,7 @@ def evidence_floor(spark, sf_dir):
     return ranked(spark, sf_dir).groupBy("query_id").agg(F.count_if(hit).alias("accepted"), F.count_if(~hit).alias("rejected"), F.max("similarity").alias("best"), (F.max("similarity") < 0.425).alias("refused"))
 
 
-SWEEP = SIMS + """, floors AS (SELECT round(0.2 + i * 0.025, 3) AS floor FROM range(0, 19) t(i)),
+SWEEP = SIMS + """, floors AS (SELECT CAST(round(0.2 + i * 0.025, 3) AS DOUBLE) AS floor FROM range(0, 19) t(i)),
 per AS (SELECT floor, query_id, wanted % 2 = 0 AS answerable, bool_or(similarity >= floor AND label = wanted) AS found, bool_or(similarity >= floor) AS evidence FROM ranked, floors WHERE rank <= 12 GROUP BY ALL)
 SELECT floor, count(*) FILTER (answerable) AS answerable, count(*) FILTER (answerable AND found) AS correct, count(*) FILTER (NOT answerable) AS unanswerable, count(*) FILTER (NOT answerable AND NOT evidence) AS refused FROM per GROUP BY floor"""
 
