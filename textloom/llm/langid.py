@@ -1,12 +1,13 @@
 """Language identification by segmentation-marginalised unigrams.
 
 A fixed public vocabulary gives the pieces; each language has a probability for every piece. A word's probability in a language is
-the sum, over all ways to cut it into pieces, of the products of their probabilities, which a forward pass computes. Pieces never span
-white space, so a text's probability is the product of its words'. Piece probabilities are learned by expectation-maximisation
+the sum, over all ways to cut it into pieces, of the products of their probabilities, which a forward pass computes. Words are runs of letters
+and pieces stay within them, so a text's probability is the product of its words'. Piece probabilities are learned by expectation-maximisation
 over the counts of (language, word): forward and backward passes give each piece's expected count over all segmentations.
 """
 
 import math
+import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ from textloom.llm.common import append_columns, in_fold, materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pieces have at most LONGEST characters. A word is scored in stretches of STRETCH characters and learned from in stretches of LEARNED.
-LONGEST, STRETCH, LEARNED, ROUNDS, SMOOTHING, CACHE = 12, 256, 16, 2, 0.1, 300_000
+LONGEST, STRETCH, LEARNED, ROUNDS, SMOOTHING, CACHE = 8, 256, 16, 1, 0.1, 400_000
 MOST_LANGUAGES = 2_000
+#: Words are runs of letters, in lower case: digits and marks tell nothing of a language.
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def pieces(path: str) -> list[str]:
@@ -35,12 +38,43 @@ def pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Piece numbers of every stretch of a group of equally long words."""
+    """Piece numbers of every stretch of a group of equally long words, by hashes of their characters."""
 
     def __init__(self, vocabulary: list[str]):
-        self.index = {p: i for i, p in enumerate(vocabulary)}
         self.size = len(vocabulary)
-        self.single = {c for c in self.index if len(c) == 1}
+        self.single = {p for p in vocabulary if len(p) == 1}
+        self.keys = np.zeros(self.size + 1, np.uint64)
+        for at, piece in enumerate(vocabulary):
+            h = 0
+            for c in piece:
+                h = (h * self.BASE + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            self.keys[at] = h
+        if len(np.unique(self.keys)) <= self.size:
+            raise ValueError("two pieces share a 64-bit hash")
+        self.first, self.second = (np.full(1 << 20, self.size, np.int32) for _ in range(2))
+        places = self.place(self.keys[:-1], self.FIRST)
+        _, one = np.unique(places, return_index=True)
+        self.first[places[one]] = one
+        rest = np.setdiff1d(np.arange(self.size), one)
+        places = self.place(self.keys[rest], self.SECOND)
+        if len(np.unique(places)) < len(rest):
+            raise ValueError("the table of pieces is too small")
+        self.second[places] = rest
+
+    BASE, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+
+    @staticmethod
+    def place(hashes: np.ndarray, by: int) -> np.ndarray:
+        return ((hashes * np.uint64(by)) >> np.uint64(44)).astype(np.int64)
+
+    def pieces_at(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; size stands for no piece."""
+        one = self.first[self.place(hashes, self.FIRST)]
+        missed = np.flatnonzero((one != self.size) & (self.keys[one] != hashes))  # a piece is in the second table only if its place in the first is taken
+        if len(missed):
+            two = self.second[self.place(hashes[missed], self.SECOND)]
+            one[missed] = np.where(self.keys[two] == hashes[missed], two, self.size)
+        return one
 
     def spell(self, word: str) -> str:
         """word with the mark of a word's start, and its characters that are no piece as bytes."""
@@ -51,14 +85,19 @@ class Lattice:
         return "".join(c if c in single else "".join(chr(0xF0000 + b) for b in c.encode("utf-8", "surrogatepass")) for c in word)
 
     def stretches(self, words: list[str], n: int):
-        """(i, length, piece numbers of words[i:i + length]), by end; size stands for no piece."""
-        get, none = self.index.get, self.size
+        """(i, length, piece numbers of words[i:i + length]), by end."""
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+        hashes: dict[int, np.ndarray] = {}
         for end in range(1, n + 1):
+            code = codes[:, end - 1]
+            hashes[end - 1] = np.zeros(len(words), np.uint64)
+            hashes.pop(end - 1 - LONGEST, None)
             for length in range(1, min(LONGEST, end) + 1):
                 i = end - length
-                ids = [get(w[i:end], none) for w in words]
-                if length == 1 or any(x != none for x in ids):
-                    yield i, length, np.array(ids)
+                hashes[i] = hashes[i] * np.uint64(self.BASE) + code
+                ids = self.pieces_at(hashes[i])
+                if length == 1 or (ids < self.size).any():
+                    yield i, length, ids
 
     def log_probability(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Log of the summed probability of each word's segmentations in each language; words are spelled and equally long. table: (pieces + 1) x languages, the last row 0."""
@@ -70,7 +109,11 @@ class Lattice:
             if end not in alpha:
                 alpha.pop(end - LONGEST - 1, None)
                 alpha[end] = np.zeros_like(scale)
-            alpha[end] += alpha[i] * table[ids]
+            there = np.flatnonzero(ids != self.size)
+            if 2 * len(there) < len(ids):
+                alpha[end][there] += alpha[i][there] * table[ids[there]]
+            else:
+                alpha[end] += alpha[i] * table[ids]
             if length == min(LONGEST, end) and end % 8 == 0 or end == n:
                 low = np.maximum.reduce([alpha[k] for k in range(max(0, end - LONGEST), end + 1) if k in alpha])
                 if (low < 1e-60).any():
@@ -83,16 +126,20 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, language: np.ndarray, table: np.ndarray, into: np.ndarray) -> None:
         """Adds to into (pieces + 1 x languages) the expected number of each piece over words' segmentations, counts times each."""
         n = len(words[0])
-        steps = [(i, i + length, ids, table[ids, language]) for i, length, ids in self.stretches(words, n)]
+        steps = []
+        for i, length, ids in self.stretches(words, n):
+            there = np.flatnonzero(ids != self.size)
+            if len(there):
+                steps.append((i, i + length, there, ids[there], table[ids[there], language[there]]))
         alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
         alpha[0], beta[n] = 1, 1
-        for i, end, _, p in steps:
-            alpha[end] += alpha[i] * p
-        for i, end, _, p in sorted(steps, key=lambda s: -s[1]):
-            beta[i] += p * beta[end]
+        for i, end, there, _, p in steps:
+            alpha[end, there] += alpha[i, there] * p
+        for i, end, there, _, p in reversed(steps):
+            beta[i, there] += p * beta[end, there]
         weight = counts / np.maximum(alpha[n], 1e-300)
-        for i, end, ids, p in steps:
-            np.add.at(into, (ids, language), alpha[i] * p * beta[end] * weight)
+        for i, end, there, ids, p in steps:
+            np.add.at(into, (ids, language[there]), alpha[i, there] * p * beta[end, there] * weight[there])
 
 
 @dataclass(frozen=True)
@@ -114,35 +161,34 @@ class Scorer:
         self.known, self.rows = {}, np.zeros((0, len(self.model.languages)))
 
     def learn(self, words: set[str]) -> None:
-        by_length, parts = defaultdict(dict), defaultdict(list)
+        spell, score, table = self.lattice.spell, self.lattice.log_probability, self.model.table
+        groups: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
         for w in words:
-            spelled = self.lattice.spell(w)
-            for i in range(0, len(spelled), STRETCH):
-                part = spelled[i : i + STRETCH]
-                by_length[len(part)].setdefault(part, None)
-                parts[w].append(part)
-        score = {}
-        for group in by_length.values():
-            group = list(group)
-            for i in range(0, len(group), 4_096):
-                some = group[i : i + 4_096]
-                score.update(zip(some, self.lattice.log_probability(some, self.model.table), strict=True))
-        first = len(self.rows)
-        self.known.update((w, first + i) for i, w in enumerate(parts))
-        if parts:
-            self.rows = np.concatenate([self.rows, np.array([score[p[0]] if len(p) == 1 else np.sum([score[x] for x in p], axis=0) for p in parts.values()])])
+            spelled = spell(w)
+            own, spellings = groups[len(spelled)]
+            own.append(w)
+            spellings.append(spelled)
+        made, at = [self.rows], len(self.rows)
+        for n, (own, spellings) in groups.items():
+            if n <= STRETCH:
+                made += [score(spellings[i : i + 4_096], table) for i in range(0, len(own), 4_096)]
+            else:
+                made += [np.sum([score([s[i : i + STRETCH]], table) for i in range(0, n, STRETCH)], axis=0) for s in spellings]
+            self.known.update(zip(own, range(at, at + len(own)), strict=True))
+            at += len(own)
+        self.rows = np.concatenate(made)
 
     def languages(self, texts: list[str | None]):
         """(language, posterior probability) of each text."""
         for at in range(0, len(texts), 256):
-            some = [t.split() if t else [] for t in texts[at : at + 256]]
+            some = [LETTERS.findall(t.lower()) if t else [] for t in texts[at : at + 256]]
             new = set().union(*some) - self.known.keys()
             if len(self.known) + len(new) > CACHE:
                 self.forget()
                 new = set().union(*some)
             self.learn(new)
             for text, words in zip(texts[at : at + 256], some, strict=True):
-                if not self.model.languages or not text or not any(map(str.isalpha, text)):
+                if not self.model.languages or not words:
                     yield "und", 0.0
                     continue
                 total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0) + self.model.prior
@@ -160,7 +206,7 @@ def word_counts(documents: DataFrame, text: Column, lang: Column) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.update((language, w) for w in t.split())
+                total.update((language, w) for w in LETTERS.findall(t.lower()))
                 if len(total) > CACHE:
                     yield flush(total)
                     total.clear()
