@@ -81,7 +81,7 @@ def shingle_counts(spark, sf_dir):
 
 @query()
 def near_duplicate_pairs(spark, sf_dir):
-    """Jaccard pairs of whole texts; SQL over all pairs is too slow, tests hold it against brute force."""
+    """Jaccard pairs of whole texts; SQL over all pairs is too slow."""
     found = dedupe.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -117,7 +117,7 @@ def rule_histogram(spark, sf_dir):
 @query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^http://', 'https://'), '[?&](ref|src|source|utm_[a-z]+)=[^&]*', '', 'g'), '/+$', ''), '(\\.[a-z]+/.*[^?])&', '\\1?') AS canonical,
 lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages WHERE url NOT LIKE '%?%'""")
 def canonical_urls(spark, sf_dir):
-    """Of URLs without a query; the full rules are held by fixtures."""
+    """Of URLs without a query."""
     p = with_canonical(table(spark, sf_dir, "pages").where("url not like '%?%'"), F.col("url"))
     return p.select("page_id", F.col("canonical"), "host")
 
