@@ -13,7 +13,8 @@ BLANKS = "[ \\t\u00a0]"
 def normalised(text: Column) -> Column:
     """One line end, single blanks within lines but indents kept, no blanks at line ends, at most one empty line; fenced parts stay."""
     def plain(t: Column) -> Column:
-        t = F.regexp_replace(t, f"([^ \\t\u00a0\\n]){BLANKS}+", "$1 ")
+        # A single blank is as it should be, and most are single.
+        t = F.regexp_replace(t, f"([^ \\t\u00a0\\n])(?: {BLANKS}+|[\\t\u00a0]{BLANKS}*)", "$1 ")
         t = F.regexp_replace(t, f"{BLANKS}+\\n", "\n")
         return F.regexp_replace(t, "\\n{3,}", "\n\n")
 
@@ -43,9 +44,13 @@ def tokens(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct runs of n tokens; of a shorter text its distinct tokens."""
-    t = tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.array_distinct(F.when(F.size(t) >= n, runs).otherwise(t))
+
+    def distinct(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n))))
+        return F.array_distinct(F.when(F.size(t) >= n, runs).otherwise(t))
+
+    # Bound to a lambda's variable, the tokens are found once, not once a run; runs take them by index, as a slice would copy the array.
+    return F.get(F.transform(F.array(tokens(text)), distinct), F.lit(0))
 
 
 def markers(text: Column, names: list[str]) -> Column:
