@@ -42,3 +42,9 @@ CAPS = {"web_search": 1600, "fetch_url": 3000}
 OTHER_CAP = 2000
 # Rolling limits on requests (window in hours, limit, per host).
 LIMITS = [(1, 60, True), (24, 300, True), (1, 300, False), (24, 2000, False), (720, 20000, False)]
+
+# The last lines of a page that list other articles, as a heading and as a dated entry.
+LINK_HEADING = r"(recent|latest|popular|related|previous|other|more)\s+(articles?|posts?|stories|reading)\s*:?\s*$"
+LINK_ENTRY = r"^\s*[-*•]\s+.+?\s+-\s+\d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\s*$"
+# The calculator's bounds on an exponent and on an expression's characters.
+MOST_EXPONENT, MOST_EXPRESSION = 1000, 500

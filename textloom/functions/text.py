@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.fixed import BOILERPLATE
+from textloom.functions.fixed import BOILERPLATE, LINK_ENTRY, LINK_HEADING
 
 BLANKS = "[ \\t\u00a0]"
 
@@ -30,6 +30,24 @@ def without_boilerplate(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "```", -1), lambda t, i: F.when(i % 2 == 0, own(t)).otherwise(t)), "```")
 
 
+def without_link_list(text: Column) -> Column:
+    """text without a list of other articles at its end: dated entries, blank lines between them, and the heading right above."""
+    heading = "(?i)^\\s*(?:#{1,6}\\s*|[-*+]\\s+|>\\s*)?" + LINK_HEADING
+
+    def cut(lines: Column) -> Column:
+        def back(s: Column, line: Column) -> Column:
+            at = s["at"] - 1
+            state = lambda to, done: F.struct(at.alias("at"), to.alias("to"), F.lit(done).alias("done"))
+            above = line.rlike(heading) & (s["to"] <= at + 1)
+            return F.when(s["done"], s).when(~line.rlike("\\S"), state(s["to"], False)).when(line.rlike("(?i)" + LINK_ENTRY), state(at, False)).otherwise(state(F.when(above, at).otherwise(s["to"]), True))
+
+        start = F.struct(F.size(lines).alias("at"), F.size(lines).alias("to"), F.lit(False).alias("done"))
+        to = F.aggregate(F.reverse(lines), start, back)["to"]
+        return F.when(to == F.size(lines), text).otherwise(F.regexp_replace(F.array_join(F.slice(lines, F.lit(1), to), "\n"), "^\\s+|\\s+$", ""))
+
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), cut), F.lit(0))
+
+
 def without_links(text: Column) -> Column:
     return F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
 

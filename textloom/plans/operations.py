@@ -3,8 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions.answers import numbered, search_terms
+from textloom.functions.calculator import calculated
 from textloom.functions.fixed import FALLBACK, HARD_SIGNALS, RATES
 from textloom.functions.text import any_of
+from textloom.operators.evaluation import drift
 from textloom.plans.registry import query
 from textloom.sources.tables import delete, insert_unique, table, upsert
 
@@ -171,3 +174,30 @@ def pricing_summary(spark, sf_dir):
 def paired_outcomes(spark, sf_dir):
     counts = lambda kind, name: table(spark, sf_dir, "events").where(F.col("event_type") == kind).groupBy("user_id").agg(F.count("*").alias(name))
     return counts("view", "views").join(counts("purchase", "purchases"), "user_id", "full_outer").select("user_id", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("purchases", F.lit(0)).alias("purchases"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(nullif(array_to_string(list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: regexp_replace(w, '[-+&|!(){}\[\]^"~*?:\\/]', '', 'g')), lambda w: w <> ''), ' OR '), ''), text) AS terms FROM conversations WHERE role = 'user'""")
+def search_expressions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", search_terms(F.col("text")).alias("terms"))
+
+
+@query("SELECT conv_id, string_agg('[' || n || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY conv_id")
+def numbered_context(spark, sf_dir):
+    first = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 3")
+    parts = F.array_sort(F.collect_list(F.struct("n", F.col("role").alias("title"), F.col("text").alias("body"))))
+    return first.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", numbered(F.col("parts")).alias("context"))
+
+
+@query("SELECT event_id, CAST(event_id % 97 * 3 - (7 + user_id % 5) // 2 AS DOUBLE) AS result FROM events")
+def calculator(spark, sf_dir):
+    text = F.concat((F.col("event_id") % 97).cast("string"), F.lit(" * 3 - (7 + "), (F.col("user_id") % 5).cast("string"), F.lit(") // 2"))
+    return table(spark, sf_dir, "events").select("event_id", calculated(text).alias("result"))
+
+
+@query("WITH claims AS (SELECT unnest([p_partkey % 13, p_partkey % 13 + 1]) AS q, p_partkey AS article_id, CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE ' ' || p_name END AS title FROM part), once AS (SELECT article_id, title, min(q) AS question_id FROM claims GROUP BY ALL) SELECT article_id, title, question_id, p_name AS actual, CASE WHEN p_partkey IS NULL THEN 'gone' ELSE 'retitled' END AS problem FROM once LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) p ON p_partkey = article_id WHERE p_partkey IS NULL OR trim(p_name) <> trim(title)")
+def evaluation_drift(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    title = F.when(F.col("p_partkey") % 11 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name"))
+    q = F.col("p_partkey") % 13
+    claims = p.select(F.explode(F.array(q, q + 1)).alias("question_id"), F.col("p_partkey").alias("article_id"), title.alias("title"))
+    return drift(claims, p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
