@@ -48,3 +48,16 @@ LINK_HEADING = r"(recent|latest|popular|related|previous|other|more)\s+(articles
 LINK_ENTRY = r"^\s*[-*•]\s+.+?\s+-\s+\d{1,2}(st|nd|rd|th)?\s+\w+\s+\d{4}\s*$"
 # The calculator's bounds on an exponent and on an expression's characters.
 MOST_EXPONENT, MOST_EXPRESSION = 1000, 500
+
+# Tags without text of the page, and those that frame an article.
+HIDDEN = frozenset({"script", "style", "noscript", "svg", "template"})
+CHROME = HIDDEN | {"nav", "footer", "header", "aside", "form", "iframe", "button"}
+# Where pages declare their date, the most trusted first.
+META_DATES = [
+    "article:published_time", "og:article:published_time", "datePublished", "date", "pubdate", "publish-date", "publication_date", "DC.date.issued", "dc.date", "sailthru.date", "parsely-pub-date", "og:updated_time",
+    "article:modified_time",
+]
+LD_DATES = ["datePublished", "dateCreated", "uploadDate"]
+# Dates in prose.
+MONTHS = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+DATE_PATTERNS = [rf"\b{MONTHS}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", rf"\b(\d{{1,2}})\s+{MONTHS}\.?,?\s+(\d{{4}})\b", r"\b(\d{4})-(\d{2})-(\d{2})\b"]

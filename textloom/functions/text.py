@@ -83,10 +83,32 @@ def percent(part: Column, whole: Column) -> Column:
 
 def is_refusal(answer: Column) -> Column:
     """Whether the whole answer says that it doesn't know."""
-    t = F.rtrim(F.lit(".! "), F.lower(F.trim(F.replace(answer, F.lit("’"), F.lit("'")))))
+    t = F.rtrim(F.lower(F.trim(F.replace(answer, F.lit("’"), F.lit("'")))), F.lit(".! "))
     return t.isin("i don't know", "i do not know")
 
 
+def is_short_refusal(answer: Column) -> Column:
+    """Whether the answer is a refusal, or holds one and has under 250 characters."""
+    low = F.lower(F.replace(answer, F.lit("’"), F.lit("'")))
+    said = F.contains(low, F.lit("i don't know")) | F.contains(low, F.lit("i do not know"))
+    return is_refusal(answer) | ((F.length(answer) < 250) & said)
+
+
+def grade(verdict: Column) -> Column:
+    """The first of the four grades that the verdict holds; null for none."""
+    found = None
+    for name in ("CORRECT", "PARTIAL", "WRONG", "REFUSED"):
+        held = F.contains(F.upper(verdict), F.lit(name))
+        found = F.when(held, name) if found is None else found.when(held, name)
+    return found
+
+
+def unsupported_phrases(answer: Column, context: Column, most: int = 3) -> Column:
+    """Capitalised phrases of over four characters that the context doesn't hold, each once, the first few that a report shows."""
+    phrases = F.regexp_extract_all(answer, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0))
+    return F.slice(F.array_distinct(F.filter(phrases, lambda p: (F.length(p) > 4) & ~F.contains(context, p))), 1, most)
+
+
 def citations(text: Column) -> Column:
     """Indices cited in single or lenticular brackets, each once, in order."""
     marks = F.regexp_extract_all(text, F.lit(r"[\[【]\s*([0-9][0-9,\s]*?)\s*(?:†[^\]】]*)?[\]】]"), F.lit(1))
