@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.functions.fixed import LIMITS
-from textloom.operators import dom, pages, robots, structured
+from textloom.operators import dom, pages, robots, splitting, structured
 from textloom.plans.registry import query
 from textloom.plans.retrieval import SIMS, ranked
 from textloom.sources.tables import table
@@ -137,3 +137,53 @@ def page_markdown(spark, sf_dir):
     p = p.withColumns({"headings": count("(?m)^#{1,6} "), "items": count(r"(?m)^\s*(?:[-*+]|\d+\.) "), "agreement": agreement})
     p = pages.published(p, {"json_ld": F.col("json_ld"), "meta_article": F.col("meta"), "time_element": F.col("time"), "text_pattern": F.col("text")}, F.lit("2026-01-01").cast("timestamp"))
     return p.select("page_id", "title", F.sha2("markdown", 256).alias("hash"), "chars", "headings", "items", "link_density", "agreement", pages.failed_rules(F.col("chars"), F.col("link_density"), F.col("agreement"), F.col("secondary_chars")).alias("rules"), "published_at", "published_source", "paid", "password")
+
+
+@query("SELECT page_id, substr(sha256(url), 1, 2) || '/' || sha256(url) || '.html' AS path FROM pages")
+def cache_paths(spark, sf_dir):
+    """Where a page's copy lies: by the hash of its URL, in a folder of the hash's first two digits."""
+    key = F.sha2("url", 256)
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.substring(key, 1, 2), F.lit("/"), key, F.lit(".html")).alias("path"))
+
+
+@query("SELECT p_partkey, '[' || p_partkey || '] ' || p_name || ' - ' || CASE WHEN p_size % 5 = 0 THEN 'price unknown' ELSE printf('$%.2f', p_retailprice) END || CASE WHEN p_size % 3 = 0 THEN printf(' (rated %d)', p_size % 6) ELSE '' END AS line FROM part")
+def rendered_products(spark, sf_dir):
+    price = F.when(F.col("p_size") % 5 == 0, "price unknown").otherwise(F.format_string("$%.2f", "p_retailprice"))
+    rating = F.when(F.col("p_size") % 3 == 0, F.format_string(" (rated %d)", F.col("p_size") % 6)).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("["), F.col("p_partkey").cast("string"), F.lit("] "), "p_name", F.lit(" - "), price, rating).alias("line"))
+
+
+@query("""WITH d AS (SELECT conv_id, list_transform(list_filter(string_split(lower(arg_min(text, turn) FILTER (role = 'user')), ' '), lambda w: length(w) >= 6), lambda w: w) AS words, lower(arg_max(text, turn) FILTER (role = 'assistant')) AS reply, count(*) FILTER (role = 'assistant') AS calls, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id)
+SELECT conv_id, calls, chars, coalesce(len(list_filter(words, lambda w: contains(reply, w))) > 0, false) AS recalled FROM d""")
+def benchmark_replay(spark, sf_dir):
+    """Of each conversation: calls, characters, and whether the last reply holds one of the first question's longer words."""
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.lower(F.min_by(F.when(user, F.col("text")), F.when(user, F.col("turn")))).alias("question"), F.lower(F.max_by(F.when(reply, F.col("text")), F.when(reply, F.col("turn")))).alias("reply"),
+        F.count_if(reply).alias("calls"), F.sum(F.length("text")).cast("long").alias("chars"),
+    )
+    held = F.exists(F.filter(F.split("question", " "), lambda w: F.length(w) >= 6), lambda w: F.contains("reply", w))
+    return d.select("conv_id", "calls", "chars", F.coalesce(held, F.lit(False)).alias("recalled"))
+
+
+@query("SELECT user_id, round(epoch(min(ts) FILTER (event_type = 'click') - min(ts)), 3) AS first_s, round(epoch(max(ts) - min(ts)), 3) AS whole_s, count(*) / nullif(epoch(max(ts) - min(ts)), 0) * 3600 > 1 AS busy FROM events GROUP BY user_id")
+def latencies(spark, sf_dir):
+    """Seconds from a user's first event to the first click and to the last event, and whether there was more than one event an hour."""
+    s = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1_000_000
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.min(F.when(F.col("event_type") == "click", F.col("ts"))).alias("c"), F.count("*").alias("n"))
+    a, z, c = F.col("a"), F.col("z"), F.col("c")
+    return e.select("user_id", F.round(s(c, a), 3).alias("first_s"), F.round(s(z, a), 3).alias("whole_s"), (F.try_divide(F.col("n"), s(z, a)) * 3600 > 1).alias("busy"))
+
+
+@query("SELECT p.page_id, CASE WHEN p.page_id % 4 <> 0 THEN 'first' WHEN p.page_id % 8 <> 0 THEN 'second' END AS provider, CASE WHEN p.page_id % 4 <> 0 OR p.page_id % 8 <> 0 THEN CASE WHEN length(html) > 400 THEN left(html, 400) || '...' ELSE html END END AS snippet FROM pages p")
+def provider_fallback(spark, sf_dir):
+    """The first provider with a result for a page, and its snippet of at most 400 characters."""
+    clip = lambda c: F.when(F.length(c) > 400, F.concat(F.left(c, F.lit(400)), F.lit("..."))).otherwise(c)
+    p = table(spark, sf_dir, "pages")
+    found = [F.when(cond, F.struct(F.lit(name).alias("provider"), clip(F.col("html")).alias("snippet"))) for name, cond in (("first", F.col("page_id") % 4 != 0), ("second", F.col("page_id") % 8 != 0))]
+    return p.withColumn("f", F.coalesce(*found)).select("page_id", "f.provider", "f.snippet")
+
+
+@query()
+def fixed_size_pieces(spark, sf_dir):
+    return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", 800, 80)
