@@ -15,10 +15,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold; the model learns from labels over docs, as op10 does."""
+    """Documents that the toxicity model doesn't reject; it learns from labels over docs, as op10 does. With nothing learned that tells the classes apart, all stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.learned_rows())
     scored = toxicity.with_score(docs, model, F.col("text"), "__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.REJECT).select(*map(quoted, docs.columns))
+    return scored.where(~toxicity.rejected(F.col("__toxicity"), model)).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

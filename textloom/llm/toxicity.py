@@ -181,5 +181,10 @@ def with_score(df: DataFrame, model: ToxicityModel, text: Column, name: str = "t
     return append_columns(df, [text], [T.StructField(name, T.DoubleType(), False)], make)
 
 
+def rejected(score: Column, model: ToxicityModel) -> Column:
+    """Whether a text goes: its score is REJECT or more, and above that of a text without windows, so that none goes by the share of toxic labels alone."""
+    return (score >= REJECT) & (score > model.score(model.windows(), None))
+
+
 def learned_rows() -> Column:
     return ~in_fold(F.col("doc_id"), 4, 2)
