@@ -94,13 +94,13 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Weights, the intercept's first, by Newton's method with a ridge on all but the intercept."""
+def logistic(x: np.ndarray, y: np.ndarray, stands: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+    """Weights, the intercept's first, by Newton's method with a ridge on all but the intercept; each row counts as often as stands says."""
     x = np.column_stack([np.ones(len(x)), x])
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (stands * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (stands * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -115,9 +115,10 @@ def apart(docs: list[bytes], bits: int = 6) -> list[bytes]:
     return [docs[i] for i in keep]
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_docs: int = 3) -> ToxicityModel:
+def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_docs: int = 3, stands: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
     """A model of the two classes' training texts. Copies count once. With a class missing, every score is the other's share.
 
+    stands: how many labelled documents each toxic and each ordinary text stands for; the curve is fitted to the classes' shares so weighted.
     Toxic segments are words that distinguish toxic documents: in at least least_docs of them and in one of fifty, with a
     z of the difference of shares of least_z or more, and a share four times that among ordinary documents.
     """
@@ -140,13 +141,14 @@ def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_d
         share = len(toxic) / max(1, len(toxic) + len(ordinary))
         return ToxicityModel(base.ordinary, base.toxic, 2, (math.log((share * 100 + 0.5) / (100 - share * 100 + 0.5)),) + (0.0,) * FEATURES)
     windows, y = base.windows(), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    weight = np.where(y == 1, *stands)
     gains = [windows.gains(t) for t in toxic + ordinary]
     best = None
     for threshold in range(4, 9):
         x = np.array([features(*g, threshold) for g in gains])
-        w = logistic(x, y)
+        w = logistic(x, y, weight)
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        loss = -np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=weight)
         if best is None or loss < best[0] - 1e-12:
             best = loss, threshold, w
     return ToxicityModel(base.ordinary, base.toxic, best[1], tuple(map(float, best[2])))
@@ -156,15 +158,17 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     """Fits on at most sample documents of each class: labelled rows for which learn (over labels.doc_id) holds, of least hash.
 
     Rows whose label is neither 0 nor 1, or whose doc_id or text is null, teach nothing; an id in labels twice counts once.
-    The ids are picked in labels before documents is read, so the join's right side has at most 2 * sample rows.
+    The ids are picked in labels before documents is read, so the join's right side has at most 2 * sample rows. Each picked id
+    stands for its class' ids / picked ids, so that a score means the same whether or not the sample is the whole.
     """
     rows = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
     rows = (rows.where(learn) if learn is not None else rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (1, 0)]
     texts_of = documents.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    of_class = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     found = texts_of.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("toxic", "text").collect()
     both = {c: sorted(x.text.encode() for x in found if x.toxic == c) for c in (1, 0)}
-    return fit(both[1], both[0])
+    return fit(both[1], both[0], stands=tuple(max(1.0, of_class.get(c, 0) / sample) for c in (1, 0)))
 
 
 def with_score(df: DataFrame, model: ToxicityModel, text: Column, name: str = "toxicity_score") -> DataFrame:
