@@ -79,19 +79,31 @@ def shingle_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
+def set_checkpoints(spark) -> None:
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/textloom-checkpoints"))
+
+
 @query()
 def near_duplicate_pairs(spark, sf_dir):
-    """Jaccard pairs of whole texts; SQL over all pairs is too slow."""
-    found = dedupe.similar_pairs(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Jaccard pairs of whole texts; SQL over all pairs is too slow.
+
+    Of documents of one shingle set the least id stands for all: each other one has a row (least id, its id, 1.0), and pairs with
+    other sets are between least ids. So copies of a pair's ends pair likewise, and n copies give n rows, not n squared.
+    """
+    set_checkpoints(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = dedupe.similar_pairs(docs, "doc_id", F.col("text")).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    same = dedupe.copies(docs, "doc_id", F.col("text"))
+    return found.unionByName(same.select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 @query()
 def greedy_near_duplicates(spark, sf_dir):
+    """Whether each document stays; SQL can't express the rounds."""
+    set_checkpoints(spark)
     docs = table(spark, sf_dir, "documents")
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/textloom-checkpoints"))
     pairs = dedupe.similar_pairs(docs, "doc_id", F.col("text")).checkpoint()
-    return dedupe.resolve_greedily(pairs, pairs.selectExpr("a as id").unionByName(pairs.selectExpr("b as id")))
+    return dedupe.resolve_all(docs, "doc_id", pairs, dedupe.copies(docs, "doc_id", F.col("text")))
 
 
 @query("SELECT doc_id, length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_chars, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_md5 FROM documents")
