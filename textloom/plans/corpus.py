@@ -129,11 +129,17 @@ def rule_histogram(spark, sf_dir):
 @query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^http://', 'https://'), '[?&](ref|src|source|utm_[a-z]+)=[^&]*', '', 'g'), '/+$', ''), '(\\.[a-z]+/.*[^?])&', '\\1?') AS canonical,
 lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages WHERE url NOT LIKE '%?%'""")
 def canonical_urls(spark, sf_dir):
-    """Of URLs without a query."""
+    """Of URLs without a query, for the comparison with SQL; canonical_page_urls has all pages."""
     p = with_canonical(table(spark, sf_dir, "pages").where("url not like '%?%'"), F.col("url"))
     return p.select("page_id", F.col("canonical"), "host")
 
 
+@query()
+def canonical_page_urls(spark, sf_dir):
+    """Of all pages, tracking parameters stripped; null where the URL is null or refused."""
+    return with_canonical(table(spark, sf_dir, "pages"), F.col("url")).select("page_id", "canonical", "host")
+
+
 @query("SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
 def pages_per_host(spark, sf_dir):
     return with_canonical(table(spark, sf_dir, "pages"), F.col("url")).groupBy("host").agg(F.count("*").alias("n"))
