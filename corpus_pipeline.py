@@ -22,11 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest doc_id; of its repeated rows one. Components whose ids are all null keep one row."""
-    found = simhash.near_duplicates(docs)
-    keep = found.groupBy("component_id").agg(F.min_by("fingerprint", F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("__fingerprint"))
+    """One document of each SimHash component: the one of the smallest doc_id; of its repeated rows one; a row of null id only where all ids are null. Components that share an id, or have none, keep a row each."""
+    _, placed = simhash.classes(docs)
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("first"))
+    keep = first.select(F.col("first.least_id").alias("__id"), F.col("first.fp").alias("__fingerprint"))
     marked = simhash.with_fingerprints(docs, F.col("text"), "__fingerprint")
-    kept = marked.join(keep.withColumnRenamed("component_id", "__id"), (F.col("doc_id").eqNullSafe(F.col("__id"))) & (marked["__fingerprint"] == keep["__fingerprint"]), "left_semi")
+    kept = marked.join(keep, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (marked["__fingerprint"] == keep["__fingerprint"]), "left_semi")
     once = kept.dropDuplicates(["doc_id", "__fingerprint"])
     return once.select(*map(quoted, docs.columns))
 
