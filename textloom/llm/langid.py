@@ -106,23 +106,28 @@ class Lattice:
         scale = np.zeros((len(words), table.shape[1]))
         for i, length, ids in self.stretches(words, n):
             end = i + length
-            if end not in alpha:
+            if length == 1:  # every end has this one, and it comes first
                 alpha.pop(end - LONGEST - 1, None)
+                if end % 8 == 0:
+                    self.rescale(alpha, scale)
                 alpha[end] = np.zeros_like(scale)
             there = np.flatnonzero(ids != self.size)
             if 2 * len(there) < len(ids):
                 alpha[end][there] += alpha[i][there] * table[ids[there]]
             else:
                 alpha[end] += alpha[i] * table[ids]
-            if length == min(LONGEST, end) and end % 8 == 0 or end == n:
-                low = np.maximum.reduce([alpha[k] for k in range(max(0, end - LONGEST), end + 1) if k in alpha])
-                if (low < 1e-60).any():
-                    by = np.where(low < 1e-60, np.maximum(low, 1e-300), 1.0)
-                    scale += np.log(by)
-                    for k in alpha:
-                        alpha[k] = alpha[k] / by
         return np.log(np.maximum(alpha[n], 1e-300)) + scale
 
+    @staticmethod
+    def rescale(alpha: dict[int, np.ndarray], scale: np.ndarray) -> None:
+        """Divides the sums still in use by the largest of them, where that is small, and adds its log to scale."""
+        low = np.maximum.reduce(list(alpha.values()))
+        if (low < 1e-20).any():
+            by = np.where(low < 1e-20, np.maximum(low, 1e-300), 1.0)
+            scale += np.log(by)
+            for k in alpha:
+                alpha[k] = alpha[k] / by
+
     def expected(self, words: list[str], counts: np.ndarray, language: np.ndarray, table: np.ndarray, into: np.ndarray) -> None:
         """Adds to into (pieces + 1 x languages) the expected number of each piece over words' segmentations, counts times each."""
         n = len(words[0])
