@@ -28,3 +28,25 @@ def test_text_without_spaces_in_two_languages(spark):
     model = langid.train(docs, F.col("text"), F.col("lang"))
     found = list(langid.Scorer(model).languages([text(lang, 400) for lang in "xyxy"]))
     assert [x for x, _ in found] == list("xyxy") and all(s > 0.99 for _, s in found)
+
+
+def test_whole_vocabulary():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    every = {model.IdToPiece(i) for i in range(model.GetPieceSize()) if not (model.IsControl(i) or model.IsUnknown(i) or model.IsByte(i))}
+    assert every <= set(langid.pieces(langid.VOCABULARY)) and max(map(len, every)) > 8
+
+
+def test_long_pieces_are_summed():
+    vocabulary = ["▁", "a", "b", "▁abababababab", "abababababababab", "ab"]
+    table = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1], [0.3, 0.4], [0.1, 0.1], [0, 0]])
+    words = ["▁" + "ab" * 9, "▁" + "b" * 18, "▁" + "ab" * 6 + "ba" * 3]
+
+    def plain(word):
+        total = [np.ones(2)]
+        for end in range(1, len(word) + 1):
+            total.append(sum((total[end - len(p)] * table[i] for i, p in enumerate(vocabulary) if word[:end].endswith(p)), np.zeros(2)))
+        return np.log(total[-1])
+
+    assert langid.Lattice(vocabulary).log_probability(words, table) == pytest.approx(np.array([plain(w) for w in words]))

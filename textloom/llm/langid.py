@@ -21,27 +21,27 @@ from pyspark.sql import types as T
 from textloom.llm.common import append_columns, in_fold, materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces have at most LONGEST characters. A word is scored in stretches of STRETCH characters and learned from in stretches of LEARNED.
-LONGEST, STRETCH, LEARNED, ROUNDS, SMOOTHING, CACHE = 8, 256, 16, 1, 0.1, 400_000
+#: A word is scored in stretches of STRETCH characters and learned from in stretches of LEARNED, or of the longest piece if that is longer.
+STRETCH, LEARNED, ROUNDS, SMOOTHING, CACHE = 256, 16, 1, 0.1, 400_000
 MOST_LANGUAGES = 2_000
 #: Words are runs of letters, in lower case: digits and marks tell nothing of a language.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def pieces(path: str) -> list[str]:
-    """The vocabulary's pieces of at most LONGEST characters; bytes stand as one private character each, from U+F0000 on."""
+    """The vocabulary's pieces, of any length; bytes stand as one private character each, from U+F0000 on."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = [model.IdToPiece(i) for i in range(model.GetPieceSize()) if not (model.IsControl(i) or model.IsUnknown(i) or model.IsByte(i))]
-    return [*(p for p in every if len(p) <= LONGEST), *(chr(0xF0000 + b) for b in range(256))]
+    return [*every, *(chr(0xF0000 + b) for b in range(256))]
 
 
 class Lattice:
     """Piece numbers of every stretch of a group of equally long words, by hashes of their characters."""
 
     def __init__(self, vocabulary: list[str]):
-        self.size = len(vocabulary)
+        self.size, self.longest = len(vocabulary), max(map(len, vocabulary))
         self.single = {p for p in vocabulary if len(p) == 1}
         self.keys = np.zeros(self.size + 1, np.uint64)
         for at, piece in enumerate(vocabulary):
@@ -91,8 +91,8 @@ class Lattice:
         for end in range(1, n + 1):
             code = codes[:, end - 1]
             hashes[end - 1] = np.zeros(len(words), np.uint64)
-            hashes.pop(end - 1 - LONGEST, None)
-            for length in range(1, min(LONGEST, end) + 1):
+            hashes.pop(end - 1 - self.longest, None)
+            for length in range(1, min(self.longest, end) + 1):
                 i = end - length
                 hashes[i] = hashes[i] * np.uint64(self.BASE) + code
                 ids = self.pieces_at(hashes[i])
@@ -107,7 +107,7 @@ class Lattice:
         for i, length, ids in self.stretches(words, n):
             end = i + length
             if length == 1:  # every end has this one, and it comes first
-                alpha.pop(end - LONGEST - 1, None)
+                alpha.pop(end - self.longest - 1, None)
                 if end % 8 == 0:
                     self.rescale(alpha, scale)
                 alpha[end] = np.zeros_like(scale)
@@ -241,12 +241,13 @@ def train(documents: DataFrame, text: Column, lang: Column, vocabulary: str = VO
             def expect(frames, shared=shared):
                 known, place, table = shared.value
                 lattice, into = Lattice(known), np.zeros_like(table)
+                learned = max(LEARNED, lattice.longest)
                 for pdf in frames:
                     groups = defaultdict(list)
                     for language, word, n in zip(pdf.lang, pdf.word, pdf.n, strict=True):
                         spelled = lattice.spell(word)
-                        for i in range(0, len(spelled), LEARNED):
-                            part = spelled[i : i + LEARNED]
+                        for i in range(0, len(spelled), learned):
+                            part = spelled[i : i + learned]
                             groups[len(part)].append((part, n, place[language]))
                     for group in groups.values():
                         some, n, language = zip(*group, strict=True)
