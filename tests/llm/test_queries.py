@@ -1,5 +1,6 @@
 """Each query against brute force: on the smallest tables, and on rows with nulls, empty and long texts, ties and repeats."""
 
+import re
 import shutil
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from textloom.llm import lengths, mixing, queries, sharding
+from textloom.llm import lengths, mixing, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, shard int, size string, `TEXT_crc32` string, contaminated string, hits string"
@@ -166,12 +167,31 @@ def test_language_id(spark, odd):
 
 
 def test_toxicity(spark, odd):
-    found = queries.op10_toxicity(spark, "/root/testdata/sf0.01").toPandas()
-    held = found.merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id").query("held_out")
+    path = "/root/testdata/sf0.1"
+    found = queries.op10_toxicity(spark, path).toPandas()
+    held = found.merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id").query("held_out")
     hit = held[held.predicted == 1]
     assert ((found.score >= 0.3) == (found.predicted == 1)).all() and found.score.between(0, 1).all()
-    assert (hit.toxic == 1).mean() > 0.6 and (held[held.toxic == 1].predicted == 1).mean() >= 0.5
+    assert (hit.toxic == 1).mean() > 0.7 and (held[held.toxic == 1].predicted == 1).mean() >= 0.35
+    scores = {r[0]: r[2] for r in rows(queries.op10_toxicity(spark, odd)) if r[0] is not None}
     assert len(rows(queries.op10_toxicity(spark, odd))) == len(documents(odd, "doc_id"))
+    assert scores[3] == scores[4] == scores[5]  # null, empty and blank texts have no windows
+
+
+def test_toxic_windows():
+    def plain(text):
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        starts = [*range(0, max(0, len(words) - 4) + 1, 2)] if words else []
+        if words and len(words) > 4 and starts[-1] + 4 < len(words):
+            starts.append(len(words) - 4)
+        return [(words[i][0], words[min(i + 4, len(words)) - 1][1] - words[i][0]) for i in starts]
+
+    for text in (b"", b" \n", b"one", b" a b  c\td ", b"a b c d e", b"a b c d e f", " é ß x\x0by z ".encode(), b"x " * 1_001):
+        assert [tuple(map(int, w)) for w in toxicity.windows_of(text)] == plain(text)
+    one = toxicity.Dictionary(b"some words that a dictionary may hold for a test " * 3)
+    text = b"words that a dictionary may hold, and other words"
+    every = toxicity.windows_of(text)
+    assert one.lengths(text, every).tolist() == [len(one.compressor.compress(text[int(a) : int(a + n)])) for a, n in every]
 
 
 def test_empty_tables(spark, empty):

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,27 +53,22 @@ def quoted(name: str) -> Column:
 def append_columns(df: DataFrame, needs: list[Column], fields: list[T.StructField], make) -> DataFrame:
     """df with more columns, made batch by batch in Arrow; a column of df with the name of a new one is replaced.
 
-    make() is called once in each task; what it returns takes the arrays of needs and returns the new arrays.
+    make() is called once in each task; what it returns takes the arrays of needs and returns the new arrays. Only needs go to
+    Python; the other columns wait in the JVM. The function is marked as not deterministic so that no filter or second use runs it again.
     """
-    keep = without(df, [f.name for f in fields])
-    n = len(keep)
-    wide = df.select(*(quoted(c) for c in keep), *(c.alias(f"__need_{i}") for i, c in enumerate(needs)))
-    schema = T.StructType([*wide.schema.fields[:n], *fields])
-    names = [f.name for f in schema.fields]
+    names = [f.name for f in fields]
+    several = len(needs) > 1
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            columns = batch.columns
-            yield pa.RecordBatch.from_arrays([*columns[:n], *work(*columns[n:])], names=names)
+            yield pa.StructArray.from_arrays(work(*batch.flatten()) if several else work(batch), names=names)
 
-    return wide.mapInArrow(run, schema)
+    made = F.arrow_udf(run, T.StructType(fields)).asNondeterministic()
+    wide = df.select(*map(quoted, without(df, names)), made(F.struct(*needs) if several else needs[0]).alias("__made"))
+    return wide.select("*", *(F.col("__made")[n].alias(n) for n in names)).drop("__made")
 
 
 def texts(array: pa.Array) -> list:
     """UTF-8 bytes, or None, of a column of strings."""
     return array.cast(pa.binary()).to_pylist()
-
-
-def partitions_of(df: DataFrame) -> int:
-    return max(1, df.rdd.getNumPartitions())

@@ -1,9 +1,12 @@
-"""Toxicity by compression distance: two zstandard dictionaries, and windows that the toxic one shortens more.
-
-Both dictionaries begin with the same ordinary text, so that ordinary windows cost the same under either. The toxic one ends
-with the segments that distinguish toxic training documents, the ordinary one with as many bytes of further ordinary segments. A
-window is a word between two carriers, so that a frame's fixed costs do not hide what a short word saves; it is toxic when the
-toxic dictionary saves at least a calibrated number of bytes. A logistic curve over the document's windows gives the score.
+"""Toxicity by compression distance: two zstandard dictionaries, and windows of words that the toxic one shortens more.
+
+A window is a run of WORDS words, a new one every STEP words. Both dictionaries end with the same ordinary training windows, so an
+ordinary window costs the same under either; before these the ordinary one has more ordinary windows, the toxic one toxic windows
+in the same place and of the same size. Most windows of a toxic document are ordinary, so the toxic ones are found by compression too, in rounds:
+toxic documents are split into two folds, each fold's dictionary shortens the other's windows, those it shortens
+more than nearly all ordinary windows are kept and trimmed to what ordinary training text seldom holds, and the dictionaries are made anew from what
+is kept and a fresh draw of windows. A threshold on the bytes saved and a logistic curve over a document's windows give the score; both are
+fitted to folds that their dictionaries have not seen.
 """
 
 import math
@@ -20,63 +23,66 @@ from pyspark.sql import types as T
 from textloom.llm.common import append_columns, in_fold, texts
 from textloom.llm.simhash import fingerprint
 
-#: At most so many labelled documents of each class train the model, those of least hash; none of over LONGEST characters.
-SAMPLE, LONGEST = 2_000, 100_000
-SHARED_BYTES, OWN_BYTES, LEVEL, CACHE = 8_192, 4_096, 3, 200_000
-#: Both dictionaries end with this and a window stands between two of it: a match within costs what it costs in a longer text.
-CARRIER = bytes([*range(1, 9), *range(14, 30)])
-FEATURES = 3
+#: At most so many labelled documents of each class train the model, those of least hash.
+SAMPLE = 2_000
+WORDS, STEP, LEVEL = 4, 2, 15
+SHARED_BYTES, OWN_BYTES = 12_000, 4_096
+#: Rounds of selection; documents of each class read in one; the share of ordinary windows that a kept window must outdo; bytes of a segment.
+ROUNDS, ROUND_DOCS, OUTDO, GRAM = 16, 150, 0.999, 4
+#: Windows compressed at once.
+BATCH = 65_536
+FEATURES = 4
 #: A score of so much rejects a document.
 REJECT = 0.3
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def segments(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def windows_of(text: bytes, words: int = WORDS, step: int = STEP) -> np.ndarray:
+    """(first byte, number of bytes) of each window; the last one ends with the last word. A text of fewer words is one window."""
+    blank = BLANK[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    first, end = edge[::2], edge[1::2]
+    if not len(first):
+        return np.zeros((0, 2), np.uint64)
+    last = max(0, len(first) - words)
+    at = np.arange(0, last + 1, step)
+    if at[-1] < last:
+        at = np.append(at, last)
+    return np.stack([first[at], end[np.minimum(at + words, len(first)) - 1] - first[at]], axis=1).astype(np.uint64)
 
 
-def bare(word: bytes) -> bytes:
-    return word.strip(b".,;:!?|\"'()[]*#&%$-")
+class Dictionary:
+    """A raw-content zstandard dictionary and the lengths of windows under it."""
 
+    def __init__(self, content: bytes):
+        data = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=LEVEL)
+        self.compressor = zs.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-def joined(words: list[bytes], size: int) -> bytes:
-    """The last words, the best ones, that fit in size bytes."""
-    out, room = [], size
-    for w in reversed(words):
-        if len(w) + 1 > room:
-            break
-        out.append(w)
-        room -= len(w) + 1
-    return b" " + b" ".join(reversed(out)) + b" "
+    def lengths(self, text: bytes, windows: np.ndarray) -> np.ndarray:
+        if not len(windows):
+            return np.zeros(0, np.int64)
+        made = self.compressor.multi_compress_to_buffer(zs.BufferWithSegments(text, windows.tobytes()))
+        return np.fromiter(map(len, made), np.int64, len(windows))
 
 
 class Windows:
-    """Bytes that the toxic dictionary saves on a window against the ordinary one; remembers CACHE windows."""
+    """Bytes that the toxic dictionary saves on each window of a text against the ordinary one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        def compressor(content):
-            return zs.ZstdCompressor(level=LEVEL, dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress
-
-        self.ordinary, self.toxic, self.known = compressor(ordinary), compressor(toxic), {}
-
-    def gain(self, word: bytes) -> int:
-        found = self.known.get(word)
-        if found is None:
-            window = CARRIER + b" " + word + b" " + CARRIER[:16]
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = found = len(self.ordinary(window)) - len(self.toxic(window))
-        return found
+        self.ordinary, self.toxic = Dictionary(ordinary), Dictionary(toxic)
 
-    def gains(self, text: bytes | None) -> tuple[list[int], int]:
-        """The gains of two bytes or more, and the number of windows."""
-        gain, words = self.gain, segments(text)
-        return [g for g in map(gain, words) if g > 1], len(words)
+    def gains(self, text: bytes | None) -> np.ndarray:
+        text = (text or b"").lower()
+        every = windows_of(text)
+        parts = [every[i : i + BATCH] for i in range(0, len(every), BATCH)]
+        return np.concatenate([np.zeros(0, np.int64), *(self.ordinary.lengths(text, w) - self.toxic.lengths(text, w) for w in parts)])
 
 
-def features(gains: list[int], windows: int, threshold: int) -> list[float]:
-    """The largest gain, the log of the number of toxic windows, the log of their share of the document."""
-    hits = sum(g >= threshold for g in gains)
-    return [min(max(gains, default=0), 8) / 8, math.log1p(hits), math.log1p(100 * hits / max(1, windows))]
+def features(gains: np.ndarray, threshold: int) -> list[float]:
+    """The largest gain, the logs of the toxic windows' number, of their bytes saved and of their share of the document."""
+    hits = gains[gains >= threshold]
+    return [min(int(gains.max(initial=0)), 12) / 12, math.log1p(len(hits)), math.log1p(int(hits.sum())), math.log1p(100 * len(hits) / max(1, len(gains)))]
 
 
 @dataclass(frozen=True)
@@ -90,7 +96,7 @@ class ToxicityModel:
         return Windows(self.ordinary, self.toxic)
 
     def score(self, windows: Windows, text: bytes | None) -> float:
-        x = features(*windows.gains(text), self.threshold)
+        x = features(windows.gains(text), self.threshold)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))))))
 
 
@@ -115,43 +121,124 @@ def apart(docs: list[bytes], bits: int = 6) -> list[bytes]:
     return [docs[i] for i in keep]
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], least_z: float = 5.0, least_docs: int = 3, stands: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
-    """A model of the two classes' training texts. Copies count once. With a class missing, every score is the other's share.
+def grams(text: bytes) -> np.ndarray:
+    """The distinct runs of GRAM bytes of a text, as numbers."""
+    if len(text) < GRAM:
+        return np.zeros(0, np.uint32)
+    codes = np.frombuffer(text, np.uint8).astype(np.uint32)
+    return np.unique(sum(codes[i : len(codes) - GRAM + 1 + i] << np.uint32(8 * i) for i in range(GRAM)))
+
+
+class Trainer:
+    """Draws windows, selects toxic ones and lays out dictionaries; texts are in lower case."""
+
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], seed: int = 1):
+        self.draw = np.random.default_rng(seed)
+        self.folds = [[(t, windows_of(t)) for t in toxic[i::2]] for i in (0, 1)]
+        self.seen, self.unseen = ([(t, windows_of(t)) for t in ordinary[i::2]] for i in (0, 1))
+        self.shared = self.drawn(self.seen, SHARED_BYTES)
+        self.marks = self.marking(toxic, ordinary)
+        self.kept: list[dict[bytes, None]] = [{}, {}]
+
+    @staticmethod
+    def marking(toxic: list[bytes], ordinary: list[bytes]) -> set[int]:
+        """Runs of GRAM bytes in three toxic documents or more, and over four times as frequent there as in ordinary ones."""
+        (a, n), (b, m) = (np.unique(np.concatenate([np.zeros(0, np.uint32), *map(grams, docs)]), return_counts=True) for docs in (toxic, ordinary))
+        at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+        there = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a))
+        return set(a[(n >= 3) & (n * len(ordinary) > 4 * there * len(toxic))].tolist())
+
+    def drawn(self, docs: list, size: int) -> bytes:
+        """Windows of docs, drawn at random, up to size bytes."""
+        docs, out, room = [d for d in docs if len(d[1])], [], size
+        while docs and room > 0:
+            text, windows = docs[self.draw.integers(len(docs))]
+            at, n = map(int, windows[self.draw.integers(len(windows))])
+            out.append(text[at : at + n])
+            room -= n + 1
+        return b"\n".join(out)[:size]
+
+    def trimmed(self, window: bytes) -> bytes:
+        """What a window has of marking runs."""
+        keep = np.zeros(len(window) + 1, bool)
+        for i in range(len(window) - GRAM + 1):
+            if int.from_bytes(window[i : i + GRAM], "little") in self.marks:
+                keep[i : i + GRAM] = True
+        edge = np.flatnonzero(np.diff(keep, prepend=False))
+        return b" ".join(window[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+
+    def spread(self, segments: list[bytes], size: int, most: int) -> bytes:
+        """Segments in random order up to size bytes, leaving out those whose runs are all there most times already."""
+        out, room, seen = [], size, Counter()
+        for i in self.draw.permutation(len(segments)):
+            own = self.marks.intersection(grams(segments[i]).tolist())
+            if len(segments[i]) < room and any(seen[g] < most for g in own):
+                out.append(segments[i])
+                room -= len(segments[i]) + 1
+                seen.update(own)
+        return b"\n".join(out)
+
+    def laid(self, own: bytes) -> bytes:
+        """A dictionary's content: its own part, always as long, then the shared one: so shared text stands in the same place."""
+        return own[:OWN_BYTES].ljust(OWN_BYTES) + b"\n" + self.shared
+
+    def ordinary(self, size: int) -> bytes:
+        return self.laid(self.drawn(self.seen, size))
+
+    def some(self, docs: list) -> list:
+        return [docs[i] for i in self.draw.permutation(len(docs))[:ROUND_DOCS]]
+
+    def select(self, rounds: int) -> None:
+        for _ in range(rounds):
+            ordinary = Dictionary(self.ordinary(OWN_BYTES))
+            usual, found = [], []
+            for fold in (0, 1):
+                kept = self.spread(list(self.kept[fold]), OWN_BYTES // 2, 2)
+                toxic = Dictionary(self.laid(kept + b"\n" + self.drawn(self.folds[fold], OWN_BYTES - len(kept) - 1)))
+                gain = lambda d, toxic=toxic: ordinary.lengths(*d) - toxic.lengths(*d)
+                usual += map(gain, self.some(self.unseen))
+                found.append([(d, gain(d)) for d in self.some(self.folds[1 - fold])])
+            least = max(2, np.quantile(np.concatenate([np.zeros(1), *usual]), OUTDO))
+            for fold in (0, 1):
+                for (text, windows), gains in found[fold]:
+                    for at, n in windows[gains >= least].tolist():
+                        if segment := self.trimmed(text[at : at + n]):
+                            self.kept[1 - fold][segment] = None
+
+    def toxic(self, folds: tuple[int, ...]) -> bytes:
+        return self.spread([s for f in folds for s in self.kept[f]], OWN_BYTES, 4)
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], stands: tuple[float, float] = (1.0, 1.0), rounds: int = ROUNDS) -> ToxicityModel:
+    """A model of the two classes' training texts. Copies count once. With fewer than four of a class, every score is the toxic texts' share.
 
     stands: how many labelled documents each toxic and each ordinary text stands for; the curve is fitted to the classes' shares so weighted.
-    Toxic segments are words that distinguish toxic documents: in at least least_docs of them and in one of fifty, with a
-    z of the difference of shares of least_z or more, and a share four times that among ordinary documents.
     """
-    toxic, ordinary = apart(toxic), apart(ordinary)
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    in_toxic, in_ordinary = (Counter(w for t in docs for w in {bare(s) for s in segments(t)} if len(w) > 2) for docs in (toxic, ordinary))
-
-    def z(word: bytes) -> float:
-        a, b, p = in_toxic[word] / nt, in_ordinary[word] / no, (in_toxic[word] + in_ordinary[word]) / (nt + no)
-        return (a - b) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / nt + 1 / no))
-
-    often = [w for w, n in in_toxic.items() if n >= max(least_docs, nt / 50) and n / nt >= 4 * in_ordinary[w] / no]
-    marks = sorted((w for w in often if z(w) >= least_z), key=lambda w: (z(w), w))
-    marked = set(marks)
-    common = [w for w, _ in sorted(in_ordinary.items(), key=lambda x: (x[1], x[0])) if w not in marked]
-    own, shared = joined(marks, OWN_BYTES), joined(common, SHARED_BYTES)
-    filler = joined(common[: max(0, len(common) - shared.count(b" ") + 1)], len(own)) if marks else b" "
-    base = ToxicityModel(shared + filler + CARRIER, shared + own + CARRIER, 2, (0.0,) * (FEATURES + 1))
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(toxic) + len(ordinary))
-        return ToxicityModel(base.ordinary, base.toxic, 2, (math.log((share * 100 + 0.5) / (100 - share * 100 + 0.5)),) + (0.0,) * FEATURES)
-    windows, y = base.windows(), np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    weight = np.where(y == 1, *stands)
-    gains = [windows.gains(t) for t in toxic + ordinary]
+    toxic, ordinary = (apart([t.lower() for t in docs]) for docs in (toxic, ordinary))
+    if min(len(toxic), len(ordinary)) < 4:
+        share = len(toxic) * stands[0] / max(1.0, len(toxic) * stands[0] + len(ordinary) * stands[1])
+        return ToxicityModel(b" " * 16, b" " * 16, 2, (math.log((share * 100 + 0.5) / (100 - share * 100 + 0.5)),) + (0.0,) * FEATURES)
+    made = Trainer(toxic, ordinary)
+    made.select(rounds)
+    own = made.toxic((0, 1))
+    plain = made.ordinary(len(own))
+    gains, y = [], []
+    for fold in (0, 1):  # each half of the texts is measured by what the other half of the toxic ones gave
+        windows = Windows(plain, made.laid(made.toxic((1 - fold,))))
+        for label, docs in ((1.0, made.folds[fold]), (0.0, made.unseen[fold::2])):
+            gains += [windows.gains(t) for t, _ in docs]
+            y += [label] * len(docs)
+    y = np.array(y)
+    weight = np.where(y == 1, stands[0], stands[1] * len(ordinary) / max(1, len(made.unseen)))
     best = None
-    for threshold in range(4, 9):
-        x = np.array([features(*g, threshold) for g in gains])
+    for threshold in range(2, 9):
+        x = np.array([features(g, threshold) for g in gains])
         w = logistic(x, y, weight)
         p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))), 1e-9, 1 - 1e-9)
         loss = -np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=weight)
         if best is None or loss < best[0] - 1e-12:
             best = loss, threshold, w
-    return ToxicityModel(base.ordinary, base.toxic, best[1], tuple(map(float, best[2])))
+    return ToxicityModel(plain, made.laid(own), best[1], tuple(map(float, best[2])))
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> ToxicityModel:
@@ -164,7 +251,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column | None = None,
     rows = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
     rows = (rows.where(learn) if learn is not None else rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (1, 0)]
-    texts_of = documents.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    texts_of = documents.select("doc_id", "text").where("text is not null")
     of_class = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     found = texts_of.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("toxic", "text").collect()
     both = {c: sorted(x.text.encode() for x in found if x.toxic == c) for c in (1, 0)}
