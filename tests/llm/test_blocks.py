@@ -73,14 +73,28 @@ def test_item_blocks(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-1, None), (-2, "")], "doc_id long, text string"))
     key = lambda r: tuple(map(str, r))
-    one = sorted(map(tuple, decontaminate.decontaminate(docs, items).drop("text").collect()), key=key)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size // 4)
-    assert len(decontaminate.blocks(items.select(F.col("item_id").cast("string"), "text"))) > 3
-    assert sorted(map(tuple, decontaminate.decontaminate(docs, items).drop("text").collect()), key=key) == one
+    held = lambda **more: sorted(map(tuple, decontaminate.decontaminate(docs, items, **more).drop("text").collect()), key=key)
+    one = held()
+    most = items.agg(F.sum(F.octet_length("text"))).first()[0] // 4
+    assert len(decontaminate.blocks(items.select(F.col("item_id").cast("string"), "text"), most)) > 3
+    assert held(block_bytes=most) == one
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    assert held() == one
     assert any(r[3] for r in one)
 
 
+def test_windows_of_common_words():
+    """Items of few, frequent words, shared windows and repeats, against all places of all windows."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join("ab"[i] for i in rng.integers(0, 2, n)).encode()
+    items = [(f"{i}", text(int(rng.integers(0, 14)))) for i in range(40)] + [("7", b"a b a b a b a b a b a b"), ("x", b"a " * 9), ("y", b"a " * 9)]
+    docs = [text(int(n)) for n in rng.integers(0, 60, 50)] + [b"a " * 300, b"", b"c"]
+    made = decontaminate.Matcher(decontaminate.index(items, 8, lambda known: dict.fromkeys(known, 1)))
+    expected = brute.leaks([(i, d.decode()) for i, d in enumerate(docs)], [(i, t.decode()) for i, t in items])
+    found = [decontaminate.digest([made.find(d)], 2) for d in docs]
+    assert [tuple(c[0].as_py() for c in (f[0], f[1], f[2], f[3], f[7])) for f in found] == [r[1:] for r in expected]
+
+
 @pytest.mark.parametrize("spread", [0.02, 0.3])
 def test_vector_blocks(spark, spread):
     rng = np.random.default_rng(3)

@@ -57,6 +57,9 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+rows_of = rows
+
+
 def same(found, expected):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(found, key=key) == sorted(expected, key=key)
@@ -204,12 +207,18 @@ def test_pipeline(spark, odd, empty):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = docs
+    items = [tuple(r.values()) for r in pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()]
+    assert all(brute.leaks([(0, t)], [])[0][1] >= 8 for _, t in items)  # so any hit is a whole window
     for name, stage in p.STAGES[:3]:
+        held = [tuple(r) for r in kept.select("doc_id", "text").collect()]
         before = {r.doc_id for r in kept.select("doc_id").collect()}
         kept = stage(spark, kept, "/root/testdata/sf0.01").cache()
         assert kept.columns == docs.columns
         after = [r.doc_id for r in kept.select("doc_id").collect()]
         assert len(after) == len(set(after)) and set(after) <= before and len(after) > 0.5 * len(before), name
+        if name == "decontamination":
+            dirty = {r[0] for r in brute.leaks(held, items) if r[2] > 0}
+            assert len(dirty) > 15 and set(after) == before - dirty
     ids = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
     assert len({c for _, _, c in brute.simhash(ids)}) == len(ids)
     assert p.drop_near_duplicates(spark, kept, "").count() == len(ids)
@@ -223,6 +232,33 @@ def test_pipeline(spark, odd, empty):
         assert (out.count() > 0) == (path == odd)
 
 
+def test_pipeline_short_items(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "a b c d e f g h i")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "so one two three it is", 1, "h"), (2, "one two three, four five", 2, "h"), (3, "x a b c d e f g h y", 3, "h"), (4, "a b c d e f g x h i", 4, "h"), (4, None, 5, "h"), (None, "four five", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, hits string")
+    kept = p.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    same(rows_of(kept), [rows[0], rows[3], rows[4], rows[5]])
+
+
+def test_pipeline_clashing_columns(spark):
+    """Stages keep the values of columns whose names they use themselves."""
+    import corpus_pipeline as p
+
+    own = lambda k: " ".join(f"t{k}n{i}" for i in range(30))
+    rows = [(i, own(i), "a" if i % 3 else None, i * 7, f"s{i}", -i, f"r{i}", i * 11, i * 13) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, start string, `row` int, fingerprint string, `__row` int, taken int")
+    assert rows_of(p.drop_near_duplicates(spark, docs, "")) and p.drop_near_duplicates(spark, docs, "").columns == docs.columns
+    same(rows_of(p.drop_near_duplicates(spark, docs, "")), rows)
+    mixed = rows_of(p.mix_sources(spark, docs, ""))
+    assert mixed and set(mixed) <= set(rows)
+    sharded = p.shard(spark, docs.withColumn("slot", F.lit(-5)), "")
+    assert {tuple(r)[:9] for r in sharded.select(docs.columns).collect()} == set(rows)
+    assert sorted(r.slot for r in sharded.where("shard = 3").collect()) == list(range(sharded.where("shard = 3").count()))
+
+
 def test_tree_moves_only_what_it_must(spark):
     keys = spark.range(4_000).withColumnRenamed("id", "k")
 

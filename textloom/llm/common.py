@@ -1,10 +1,13 @@
 """What the operators of this subpackage share: the shared folder, tables written into it, and Arrow passes."""
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,24 +16,43 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables written by this process, removed when it ends.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this machine where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local session (as in tests) gets one of this machine; on a cluster that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts lineage and outlives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it again: cuts lineage and outlives lost executors. The table goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not WRITTEN:
+        atexit.register(clean)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean() -> None:
+    """Removes the tables of this process, if its session is still there."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        for path in WRITTEN:
+            there = sc._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+    WRITTEN.clear()
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, mod modulus; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))

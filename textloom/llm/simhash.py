@@ -154,16 +154,14 @@ def links(fps: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.select("fp").mapInArrow(deal, "shard int, homes binary, guests binary").groupBy("shard").applyInPandas(solve, "a long, b long")
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fingerprint) of each row, and (fp, least_id, component) of each distinct fingerprint.
+def placed(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Of a written table (doc_id, fingerprint long): (fp, least_id, component) of each distinct fingerprint.
 
     component, a fingerprint, is the component's own key, whatever its rows' ids; least_id is null only if all ids of fp are.
     """
-    narrow = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    marked = materialise(with_fingerprints(narrow, F.col("text")).select("doc_id", "fingerprint"), "fingerprints")
     distinct = materialise(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least_id")), "distinct")
     found = connected_components(links(distinct, distinct.count(), max_bits))
-    return marked, distinct.join(found, distinct.fp == found.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    return distinct.join(found, distinct.fp == found.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -173,7 +171,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     is never a component_id unless all ids of the component are null. An empty table gives an empty one. The result's columns
     are these three whatever else df holds.
     """
-    marked, placed = classes(df, id_column, text_column, max_bits)
-    named = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    ids = placed.join(named, "component").select(F.col("fp").alias("fingerprint"), "component_id")
+    narrow = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    marked = materialise(with_fingerprints(narrow, F.col("text")).select("doc_id", "fingerprint"), "fingerprints")
+    found = placed(marked, max_bits)
+    named = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    ids = found.join(named, "component").select(F.col("fp").alias("fingerprint"), "component_id")
     return marked.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
