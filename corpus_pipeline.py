@@ -22,20 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one of the smallest doc_id; of its repeated rows one; a row of null id only where all ids are null. Components that share an id, or have none, keep a row each."""
-    _, placed = simhash.classes(docs)
-    first = placed.groupBy("component").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("first"))
-    keep = first.select(F.col("first.least_id").alias("__id"), F.col("first.fp").alias("__fingerprint"))
-    marked = simhash.with_fingerprints(docs, F.col("text"), "__fingerprint")
-    kept = marked.join(keep, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (marked["__fingerprint"] == keep["__fingerprint"]), "left_semi")
-    once = kept.dropDuplicates(["doc_id", "__fingerprint"])
-    return once.select(*map(quoted, docs.columns))
+    """One row of each SimHash component: that of the smallest doc_id, null last; of its repeated rows any one. Components that share an id, or have none, keep a row each."""
+    numbered = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    marked = materialise(simhash.with_fingerprints(numbered, F.col("doc.text")), "marked")
+    narrow = marked.select("doc.doc_id", "row", "fingerprint")
+    of_print = narrow.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    found = simhash.placed(narrow).select("fp", "component")
+    keep = of_print.join(found, "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    return marked.join(keep, "row", "left_semi").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items, whole."""
-    found = decontaminate.decontaminate(docs.select("*", F.struct("*").alias("__row")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not contaminated").select("__row.*")
+    """Documents in which no run of eight words of a benchmark item occurs, nor two items shorter than that; one short item alone is no evidence."""
+    found = decontaminate.decontaminate(docs.select(F.col("text"), F.struct("*").alias("doc")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where((F.col("longest_window") < decontaminate.WINDOW) & ~F.col("contaminated")).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
