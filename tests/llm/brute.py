@@ -111,3 +111,19 @@ def cosine(rows, threshold=0.98):
     groups = components(range(len(rows)), links)
     names = named([(r[0], at) for at, r in enumerate(rows)], groups)
     return [(r[0], degree[at], c, r[0] is not None and r[0] == c) for at, (r, c) in enumerate(zip(rows, names))]
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    left, room = share * sum(n for _, n in order), {s: most * n for s, n in order}
+    found, open_ = {}, [s for s, _ in order]
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > room[s]]
+        if not full:
+            return found | {s: unit * weight[s] for s in open_}
+        found |= {s: room[s] for s in full}
+        left -= sum(room[s] for s in full)
+        open_ = [s for s in open_ if s not in found]
+    return found

@@ -1,5 +1,6 @@
 """Each query against brute force: on the smallest tables, and on rows with nulls, empty and long texts, ties and repeats."""
 
+import hashlib
 import re
 import shutil
 import zlib
@@ -13,7 +14,7 @@ import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from textloom.llm import lengths, mixing, queries, sharding, toxicity
+from textloom.llm import common, lengths, mixing, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, shard int, size string, `TEXT_crc32` string, contaminated string, hits string"
@@ -118,7 +119,7 @@ def test_mixing(spark, where, odd):
     total = Counter()
     for _, t, s in docs:
         total[s] += size(t)
-    goal = mixing.targets(list(total.items()))
+    goal = brute.targets(list(total.items()))
     same([(r[0], r[1], r[2], round(r[3], 6)) for r in found], [(i, size(t), total[s], round(goal[s], 6)) for i, t, s in docs])
     assert sum(goal.values()) == pytest.approx(1.5 * sum(total.values()))
     assert all(0 <= r[4] <= 2 * r[1] for r in found)
@@ -131,6 +132,30 @@ def test_mixing(spark, where, odd):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in wanted.items() if v}
 
 
+@pytest.mark.parametrize("sizes", [[], [(None, 0)], [(None, 5)], [("b", 10), ("a", 1_000), ("Z", 3), (None, 7), ("é", 0), ("\U0001f600", 50), ("\uffff", 20)], [(f"s{i:03}", i * i % 91) for i in range(400)]])
+def test_targets(spark, sizes):
+    found = mixing.targets(spark.createDataFrame(sizes, "source string, n long").repartition(3)).collect()
+    assert {r.source: r.target for r in found} == pytest.approx(brute.targets(sizes))
+
+
+def test_many_ranges(spark, monkeypatch):
+    """A source of many ranges and several stretches of them, joined rather than sent targets: the sums are those of one sort."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 2)
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    monkeypatch.setattr(mixing, "sums_before", lambda *a: common.sums_before(*a, fan=7))
+    docs = spark.range(600).selectExpr("id", "if(id % 3 = 0, null, concat('s', id % 5)) as source", "id % 17 as words")
+    found = mixing.mix(docs, F.col("source"), F.col("words"), [F.col("id")]).collect()
+    of = defaultdict(list)
+    for r in found:
+        of[r.source].append((hashlib.md5(f"mix|{r.id}".encode()).hexdigest(), r))
+    assert len(found) == 600
+    for rs in of.values():
+        at = 0
+        for _, r in sorted(rs, key=lambda x: x[0]):
+            assert r.start == at
+            at += r.size
+
+
 @pytest.mark.parametrize("where", [SF, "odd"])
 def test_sharding(spark, where, odd):
     path = odd if where == "odd" else where
@@ -184,7 +209,7 @@ def test_toxicity(spark, odd):
 def test_toxic_windows():
     def plain(text):
         words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
-        starts = [*range(0, max(0, len(words) - 4) + 1, 2)] if words else []
+        starts = [*range(0, max(0, len(words) - 4) + 1, 3)] if words else []
         if words and len(words) > 4 and starts[-1] + 4 < len(words):
             starts.append(len(words) - 4)
         return [(words[i][0], words[min(i + 4, len(words)) - 1][1] - words[i][0]) for i in starts]
@@ -224,7 +249,7 @@ def test_pipeline(spark, odd, empty):
     assert p.drop_near_duplicates(spark, kept, "").count() == len(ids)
     mixed = p.mix_sources(spark, kept, "").groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()
     own = kept.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n"), F.max(mixing.words(F.col("text"))).alias("most")).collect()
-    goal = mixing.targets([(r.source, r.n) for r in own])
+    goal = brute.targets([(r.source, r.n) for r in own])
     assert all(abs(r.n - goal[r.source]) <= {o.source: o.most for o in own}[r.source] / 2 + 1 for r in mixed)
     for path in (odd, empty):
         out = p.run(spark, path)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,19 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sums_before(counts: DataFrame, group: list[str], at: str, value: str, name: str, fan: int = 4_096) -> DataFrame:
+    """counts, one row for each (group, at), at a long of 0 or more, with the sum of value over the group's rows of smaller at.
+
+    Summed within stretches of fan numbers and over stretches, so a task holds fan rows or a group's stretches, never a group. Group
+    columns are not null.
+    """
+    wide = counts.withColumn("__stretch", F.floor(F.col(at) / fan))
+    tops = wide.groupBy(*group, "__stretch").agg(F.sum(value).alias("__n"))
+    tops = tops.withColumn("__top", F.sum("__n").over(Window.partitionBy(*group).orderBy("__stretch")) - F.col("__n")).drop("__n")
+    within = F.sum(value).over(Window.partitionBy(*group, "__stretch").orderBy(at)) - F.col(value)
+    return wide.withColumn("__within", within).join(tops, [*group, "__stretch"]).withColumn(name, F.col("__within") + F.col("__top")).drop("__stretch", "__within", "__top")
+
+
 def append_columns(df: DataFrame, needs: list[Column], fields: list[T.StructField], make) -> DataFrame:
     """df with more columns, made batch by batch in Arrow; a column of df with the name of a new one is replaced.
 

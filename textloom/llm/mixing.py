@@ -1,40 +1,42 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums, a cut at the exact budget.
 
-All of it is built-in functions. A source's rows fall into equal ranges of a random key, so that a hot source has many ranges;
-sizes are summed within a range and over the ranges before it, and no task holds a source.
+All of it is built-in functions. A source's rows fall into ranges of a random key, as many as its rows ask for, so that a hot source has many
+ranges; sizes are summed within a range and over the ranges before it, and no task holds a source. Sources may be any number:
+their places in order, weights and targets are computed in a table of them, and only sums of it go to the driver.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, materialise, without
+from textloom.llm.common import WORD, materialise, sums_before, without
 
-WEIGHTS, SHARE, MOST_EPOCHS, BUCKET_ROWS = (3, 1, 2), 1.5, 2.0, 10_000
-#: Sources are laid out on the driver, one number each; more than this is an error, not a cut.
-MOST_SOURCES = 1_000_000
+WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2.0
+#: Rows of a range, about; up to so many sources (of about 100 bytes) are sent to every task, more are joined.
+RANGE_ROWS, BROADCAST = 1_000, 50_000
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> dict:
-    """Each source's target: weights repeat over the sources by code point, null last; they share out share of all sizes; a target
-    stops at most times its source's size, and the excess goes to the others by weight until none is above."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    left, room = share * sum(n for _, n in order), {s: most * n for s, n in order}
-    found, open_ = {}, [s for s, _ in order]
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > room[s]]
-        if not full:
-            found |= {s: unit * weight[s] for s in open_}
+def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """totals (source, n) with each source's target: weights repeat over the sources by code point, null last; they share out share of all
+    sizes; a target stops at most times its source's size, and the excess goes to the others by weight until none is above."""
+    order = F.col("source").asc_nulls_last()
+    ranged = materialise(totals.repartitionByRange(order).select("*", F.spark_partition_id().cast("long").alias("__part"), F.lit(0).alias("__one")), "sources")
+    before = sums_before(ranged.groupBy("__one", "__part").agg(F.count("*").alias("__rows")), ["__one"], "__part", "__rows", "__before").select("__part", "__before")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))).cast("int"))
+    placed = materialise(ranged.join(before, "__part").withColumn("__weight", weight).withColumn("__room", F.col("n") * F.lit(float(most))).drop("__part", "__one", "__before"), "weights")
+    whole, unit = share * (placed.agg(F.sum("n")).first()[0] or 0), 0.0
+    while True:  # a source once full stays full, as the unit only grows
+        full = F.lit(unit) * F.col("__weight") > F.col("__room")
+        used, open_ = placed.agg(F.sum(F.when(full, F.col("__room"))), F.sum(F.when(~full, F.col("__weight")))).first()
+        new = (whole - (used or 0.0)) / open_ if open_ else unit
+        if new <= unit:
             break
-        found |= {s: room[s] for s in full}
-        left -= sum(room[s] for s in full)
-        open_ = [s for s in open_ if s not in found]
-    return found
+        unit = new
+    return placed.select("source", "n", *without(totals, ["source", "n"]), F.least(F.lit(unit) * F.col("__weight"), F.col("__room")).cast("double").alias("target"))
 
 
 def mix(df: DataFrame, source: Column, size: Column, identity: list[Column], weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
@@ -42,27 +44,21 @@ def mix(df: DataFrame, source: Column, size: Column, identity: list[Column], wei
 
     identity makes the random key: an md5 of seed and these columns as text. A source is gone through in the order of the key, as
     often as its target needs; the row at the cut gives as many words as are left, so a source's taken words are its target,
-    rounded down. Rows alike in identity, and null sources (one source), are fine; size 0 takes 0. Empty table: no rows.
+    rounded down. Rows alike in identity, and null sources (one source), are fine; size 0 takes 0. Empty table: no rows. df's rows are
+    read three times and shuffled once.
     """
     names = ("size", "source_size", "target", "start", "taken")
     keep = without(df, names)
-    rows = df.select(*keep, source.alias("__source"), size.alias("size"), F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("")) for c in identity))).alias("__random"))
-    rows = materialise(rows, "sized")
-    spark = df.sparkSession
-    totals = rows.groupBy("__source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = targets([(r[0], r.n) for r in totals], weights, share, most)
-    table = spark.createDataFrame([(r[0], r.n, float(goal[r[0]])) for r in totals], "__s string, source_size long, target double")
-    buckets = max(1, -(-sum(r.rows for r in totals) // BUCKET_ROWS))
-    bucket = F.floor(F.conv(F.substring("__random", 1, 8), 16, 10).cast("double") * F.lit(buckets) / F.lit(float(1 << 32))).cast("long")
-    rows = rows.withColumn("__bucket", bucket)
-    before = rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("__n"))
-    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__n")).select(F.col("__source").alias("__s2"), F.col("__bucket").alias("__b2"), "__before")
-    window = Window.partitionBy("__source", "__bucket").orderBy("__random", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("__in", F.sum("size").over(window) - F.col("size"))
-    placed = placed.join(before, F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__bucket") == F.col("__b2")))
-    placed = placed.join(table, F.col("__source").eqNullSafe(F.col("__s"))).withColumn("start", F.col("__before") + F.col("__in"))
+    key = F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))  # never null, so that ranges and their sums meet in the window's own partitions
+    rows = df.select(*keep, key.alias("__key"), size.alias("size"), F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("")) for c in identity))).alias("__random"))
+    totals = df.select(source.cast("string").alias("source"), size.alias("n")).groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    goals = materialise(targets(totals, weights, share, most).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("__key"), F.col("n").alias("source_size"), "target", F.ceil(F.col("rows") / RANGE_ROWS).cast("double").alias("__ranges")), "targets")
+    sent = F.broadcast(goals) if goals.count() <= BROADCAST else goals
+    share_of = F.conv(F.substring("__random", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    rows = rows.join(sent, "__key").withColumn("__range", F.floor(share_of * F.col("__ranges")).cast("long"))
+    before = sums_before(rows.groupBy("__key", "__range").agg(F.sum("size").alias("__n")), ["__key"], "__range", "__n", "__before").drop("__n")
+    window = Window.partitionBy("__key", "__range").orderBy("__random", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("__in", F.sum("size").over(window) - F.col("size")).join(before, ["__key", "__range"]).withColumn("start", F.col("__before") + F.col("__in"))
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("start")
@@ -80,4 +76,5 @@ def whole_copies(mixed: DataFrame) -> Column:
 def mix_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of documents, sizes in words; a null text has none."""
     narrow = documents.select("doc_id", F.col("source").alias("source"), words(F.col("text")).alias("__size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("__md5"))
+    narrow = materialise(narrow, "sized")
     return mix(narrow, F.col("source"), F.col("__size"), [F.col("doc_id"), F.col("__md5")]).select("doc_id", "size", "source_size", "target", "taken")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, without
+from textloom.llm.common import materialise, sums_before, without
 
 #: A slot is numbered within a bucket of about so many rows.
 BUCKET_ROWS = 100_000
@@ -75,7 +75,7 @@ def with_slot(df: DataFrame, shard: str, order: list[Column], name: str = "slot"
     count = df.count()
     buckets = max(1, -(-count // BUCKET_ROWS))
     placed = df.select(*without(df, [name]), F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("__bucket"), F.struct(*order).alias("__order"))
-    before = placed.groupBy(shard, "__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.partitionBy(shard).orderBy("__bucket")) - F.col("__n")).drop("__n")
+    before = sums_before(placed.groupBy(shard, "__bucket").agg(F.count("*").alias("__n")), [shard], "__bucket", "__n", "__before").drop("__n")
     numbered = placed.withColumn("__at", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy("__order")) - 1)
     return numbered.join(before, [shard, "__bucket"]).withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__bucket", "__order", "__at", "__before")
 
