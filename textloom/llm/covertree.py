@@ -15,6 +15,8 @@ from textloom.llm.common import materialise
 from textloom.llm.components import connected_components, contract
 
 THRESHOLD, BLOCK, LEAF, SLACK = 0.98, 2_048, 24, 1e-7
+#: Pivots of all groups together, about: 16 MB of vectors of 64 numbers.
+PIVOTS = 32_768
 
 
 class CoverTree:
@@ -116,9 +118,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     sound = F.coalesce(F.col("label").isNotNull() & F.forall(value, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0), F.lit(False))
     rows = materialise(vectors.select("vec_id", "label", value.alias("v"), sound.alias("sound")), "vectors")
     points = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    points = materialise(points.withColumn("point", F.xxhash64("label", "v")), "points")
-    if points.select("point").distinct().count() != points.count():
-        raise ValueError("two vectors share a 64-bit hash")
+    points = materialise(points.withColumn("point", F.monotonically_increasing_id()), "points")  # numbered once, as written
+    kind = vectors.schema["label"].dataType.simpleString()
     groups = points.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     pivots = _pivots(points, groups, block)
 
@@ -127,46 +128,68 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     def deal(frames):
         for pdf in frames:
             for (label, dim), rows in pdf.groupby([pdf.label, pdf.v.map(len)]):
-                centres = shared.value.get((int(label), int(dim)))
+                centres = shared.value.get((label, dim))
                 cell = 0 if centres is None else np.argmax(unit(np.array(rows.v.tolist(), np.float64)) @ centres.T, axis=1)
                 yield pd.DataFrame({"label": label, "dim": dim, "cell": cell, "point": rows.point, "copies": rows.copies, "v": [np.asarray(x, np.float64).tobytes() for x in rows.v]})
 
-    dealt = points.select("label", "v", "point", "copies").mapInPandas(deal, "label int, dim int, cell int, point long, copies long, v binary")
+    dealt = points.select("label", "v", "point", "copies").mapInPandas(deal, f"label {kind}, dim int, cell int, point long, copies long, v binary")
     # A cell may hold more than a block: its points go on in several blocks, as many as its size asks for.
     dealt = materialise(dealt, "cells")
     sizes = dealt.groupBy("label", "dim", "cell").agg(F.count("*").alias("cell_rows"))
-    parted = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.col("point"), F.ceil(F.col("cell_rows") / block)).cast("int"))
+    parted = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("point"), F.ceil(F.col("cell_rows") / block)).cast("int"))
 
     def pack(pdf):
         dim = int(pdf.dim.iloc[0])
         v = unpack(b"".join(pdf.v), dim)
         centre = v.mean(axis=0)
         return pd.DataFrame({
-            "label": pdf.label[:1], "dim": pdf.dim[:1], "block": [f"{pdf.cell.iloc[0]}.{pdf.part.iloc[0]}"], "centre": [centre.tolist()], "radius": [float(np.sqrt(((v - centre) ** 2).sum(axis=1)).max())],
+            "label": pdf.label[:1], "dim": pdf.dim[:1], "cell": pdf.cell[:1], "block": [f"{pdf.cell.iloc[0]}.{pdf.part.iloc[0]}"], "centre": [centre.tolist()], "radius": [float(np.sqrt(((v - centre) ** 2).sum(axis=1)).max())],
             "points": [pdf.point.to_numpy(np.int64).tobytes()], "copies": [pdf.copies.to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf.v)],
         })
 
-    packed = materialise(parted.groupBy("label", "dim", "cell", "part").applyInPandas(pack, "label int, dim int, block string, centre array<double>, radius double, points binary, copies binary, vectors binary"), "blocks")
+    packed = materialise(parted.groupBy("label", "dim", "cell", "part").applyInPandas(pack, f"label {kind}, dim int, cell int, block string, centre array<double>, radius double, points binary, copies binary, vectors binary"), "blocks")
     return _finish(rows, points, packed, threshold)
 
 
 def _pivots(points: DataFrame, groups: DataFrame, block: int) -> dict:
-    """For each group of more than a block: unit pivots, picked by hash, about one per block's worth of points and about 256 at most."""
-    every = F.ceil(F.col("n") / F.least(F.lit(256), F.ceil(F.col("n") / block))).cast("long")
-    large = groups.where(F.col("n") > block).select(F.col("label").alias("__l"), F.col("dim").alias("__d"), every.alias("__every"))
-    chosen = points.join(large, (F.col("label") == F.col("__l")) & (F.size("v") == F.col("__d"))).where(F.pmod(F.xxhash64("point"), F.col("__every")) == 0)
+    """For each group of more than a block: unit pivots, picked by hash, about one per block's worth of points, about 256 at most, and fewer
+    where all groups would have over PIVOTS; a group without pivots is one cell of several blocks."""
+    wanted = F.least(F.lit(256), F.ceil(F.col("n") / block)).cast("double")
+    large = groups.where(F.col("n") > block).select(F.col("label").alias("__l"), F.col("dim").alias("__d"), (F.col("n") / wanted).alias("__every"), wanted.alias("__wanted"))
+    over = max(1.0, (large.agg(F.sum("__wanted")).first()[0] or 0) / PIVOTS)
+    every = F.ceil(F.col("__every") * F.lit(over)).cast("long")
+    chosen = points.join(large, (F.col("label") == F.col("__l")) & (F.size("v") == F.col("__d"))).where(F.pmod(F.xxhash64("point"), every) == 0)
     found: dict = {}
     for r in chosen.select("label", "v").collect():
         found.setdefault((r.label, len(r.v)), []).append(r.v)
     return {k: unit(np.array(v, np.float64)) for k, v in found.items()}
 
 
+def _gap(a: str, b: str):
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _pairs(meta: DataFrame, limit: float) -> DataFrame:
+    """(label, dim, x, y): blocks near enough to hold a link. Cells, a few hundred a label, are paired first, then the blocks of each pair of cells by themselves."""
+
+    def cover(pdf):
+        centres = np.array(pdf.centre.tolist())
+        centre = centres.mean(axis=0)
+        return pdf[["label", "dim", "cell"]].head(1).assign(centre=[centre.tolist()], radius=float((np.sqrt(((centres - centre) ** 2).sum(axis=1)) + pdf.radius.to_numpy()).max()))
+
+    kind = meta.schema["label"].dataType.simpleString()
+    cells = materialise(meta.groupBy("label", "dim", "cell").applyInPandas(cover, f"label {kind}, dim int, cell int, centre array<double>, radius double"), "covers")
+    near = (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("l.cell") <= F.col("r.cell")) & (_gap("l.centre", "r.centre") <= F.col("l.radius") + F.col("r.radius") + limit + SLACK)
+    cells = cells.alias("l").join(cells.alias("r"), near).select("l.label", "l.dim", F.col("l.cell").alias("cx"), F.col("r.cell").alias("cy"))
+    side = lambda s: meta.select("label", "dim", F.col("cell").alias(f"c{s}"), F.col("block").alias(s), F.col("centre").alias(f"{s}_centre"), F.col("radius").alias(f"{s}_radius"))
+    both = cells.join(side("x"), ["label", "dim", "cx"]).join(side("y"), ["label", "dim", "cy"])
+    once = (F.col("cx") < F.col("cy")) | (F.col("x") <= F.col("y"))
+    return both.where(once & (_gap("x_centre", "y_centre") <= F.col("x_radius") + F.col("y_radius") + limit)).select("label", "dim", "x", "y")
+
+
 def _finish(rows: DataFrame, points: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     limit = float(np.sqrt(max(0, 2 - 2 * threshold)) + SLACK)
-    meta = packed.select("label", "dim", "block", "centre", "radius")
-    gap = F.sqrt(F.aggregate(F.zip_with("l.centre", "r.centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = meta.alias("l").join(meta.alias("r"), (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("l.block") <= F.col("r.block")) & (gap <= F.col("l.radius") + F.col("r.radius") + limit))
-    pairs = pairs.select(F.col("l.label").alias("label"), F.col("l.dim").alias("dim"), F.col("l.block").alias("x"), F.col("r.block").alias("y"))
+    pairs = _pairs(packed.select("label", "dim", "cell", "block", "centre", "radius"), limit)
     side = lambda name: packed.select("label", "dim", F.col("block").alias(name), F.col("points").alias(f"{name}_points"), F.col("copies").alias(f"{name}_copies"), F.col("vectors").alias(f"{name}_vectors"))
     tasks = pairs.join(side("x"), ["label", "dim", "x"]).join(side("y"), ["label", "dim", "y"]).repartition("label", "dim", "x", "y")
 
