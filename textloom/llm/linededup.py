@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from textloom.llm.common import append_columns, materialise, texts
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: A shard's filter is meant for so many keys. Up to BROADCAST frequent keys (16 bytes each, and 3 in filters) go to each task, else they are joined.
-SHARD_KEYS, BROADCAST = 50_000, 2_000_000
+#: A shard's filter is meant for so many keys. Up to BROADCAST frequent keys go to each task, as sorted numbers (16 bytes each, and 3 in filters), else they are joined.
+SHARD_KEYS, BROADCAST = 50_000, 1_000_000
 BLANK = b" \t\n\x0b\x0c\r"
 STATE = "hi long, lo long, refs long"
 
@@ -145,13 +145,41 @@ def updated_filters(filters: DataFrame, before: DataFrame, after: DataFrame, sha
     moves = new.join(old, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(1)).unionByName(old.join(new, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1)))
 
     def update(key, held, moved):
-        made = CuckooFilter(64, np.frombuffer(held["filter"].iloc[0], np.uint16) if len(held) else None)
+        made = CuckooFilter(64, np.frombuffer(held["filter"].iloc[0], np.uint16)) if len(held) else None
+        fits = made is not None
         for value, sign in zip(moved["lo"].to_numpy(np.int64).view(np.uint64), moved["sign"], strict=True):
-            if not (made.insert(int(value)) if sign > 0 else made.delete(int(value))):
-                raise ValueError("a cuckoo filter is full or lacks a key: build its shard anew")
-        return pd.DataFrame({"shard": [key[0]], "filter": [made.table.tobytes()]})
+            fits = fits and (made.insert(int(value)) if sign > 0 else made.delete(int(value)))
+        return pd.DataFrame({"shard": [key[0]], "filter": [made.table.tobytes() if fits else None]})
 
-    return filters.groupBy("shard").cogroup(moves.select(shard_of(shards).alias("shard"), "lo", "sign").groupBy("shard")).applyInPandas(update, "shard int, filter binary")
+    moved = moves.select(shard_of(shards).alias("shard"), "lo", "sign")
+    found = materialise(filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, "shard int, filter binary"), "updated")
+    # A shard that is new, full or lacks a key is built anew, with room to grow, from the exact counts.
+    again = new.select("*", shard_of(shards).alias("shard")).join(found.where("filter is null").select("shard"), "shard", "left_semi")
+    return found.where("filter is not null").unionByName(build_filters(again, shards))
+
+
+class Exact:
+    """Sorted 128-bit keys, 16 bytes each."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray):
+        order = np.lexsort((lo, hi))
+        self.hi, self.lo = hi[order], lo[order]
+
+    def holds(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hi, hi)
+        while True:  # keys that share their first half are next to each other
+            here = np.minimum(at, len(self.hi) - 1)
+            on = (at < len(self.hi)) & (self.hi[here] == hi) & (self.lo[here] < lo)
+            if not on.any():
+                return (at < len(self.hi)) & (self.hi[here] == hi) & (self.lo[here] == lo)
+            at = at + on
+
+    def among(self, keys: set[bytes]) -> set[bytes]:
+        if not keys or not len(self.hi):
+            return set()
+        flat = list(keys)
+        pairs = np.frombuffer(b"".join(flat), "<i8").reshape(-1, 2)
+        return {flat[i] for i in np.flatnonzero(self.holds(pairs[:, 0], pairs[:, 1]))}
 
 
 def suspects(found: list[list[bytes]], filters: dict, shards: int) -> list[set[bytes]]:
@@ -204,7 +232,7 @@ def drop_lines(documents: DataFrame, state: DataFrame, text_column: str = "text"
     if n <= broadcast:
         tables = spark.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in filters.collect()})
         pairs = frequent.select("hi", "lo").toPandas().to_numpy(np.int64)
-        exact = spark.sparkContext.broadcast({pairs[i].astype("<i8").tobytes() for i in range(len(pairs))})
+        exact = spark.sparkContext.broadcast(Exact(pairs[:, 0].copy(), pairs[:, 1].copy()))
 
         def make():
             filters = {s: CuckooFilter(0, np.frombuffer(b, np.uint16)) for s, b in tables.value.items()}
@@ -212,7 +240,9 @@ def drop_lines(documents: DataFrame, state: DataFrame, text_column: str = "text"
             def work(column):
                 column = texts(column)
                 found = [keys(t) for t in column]
-                return without_lines(column, found, [s & exact.value if s else s for s in suspects(found, filters, shards)])
+                known = suspects(found, filters, shards)
+                sure = exact.value.among(set().union(*known)) if known else set()
+                return without_lines(column, found, [s & sure if s else s for s in known])
 
             return work
 
