@@ -127,3 +127,34 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         left -= sum(room[s] for s in full)
         open_ = [s for s in open_ if s not in found]
     return found
+
+
+def interpolated(docs, rounds=40):
+    """Scores of deleted interpolation, the weights learned over the deleted part's tokens one by one."""
+    split = [(i, crc(i) % 5, [*WORDS.findall(ascii_lower(t)), None]) for i, t in docs]
+    word, pair = ([Counter(), Counter()] for _ in range(2))  # kept, and all
+    for _, part, ws in split:
+        for k in (0, 1) if part not in (1, 4) else (1,) if part == 4 else ():
+            word[k].update(ws)
+            pair[k].update(zip([None, *ws], ws))
+    bucket = lambda c: 1 + c.bit_length() - 1 if c else 0
+    n, v = sum(word[0].values()), len(word[0])
+    tokens = [(bucket(word[0][h]), pair[0][h, w] / max(1, word[0][h]), word[0][w] / max(1, n)) for _, part, ws in split if part == 4 for h, w in zip([None, *ws], ws)]
+    weights, m = np.full(80, 0.5), 0.9
+    weights[0] = 0
+    if tokens and n:
+        b, p, u = (np.array(x) for x in zip(*tokens))
+        for _ in range(rounds):
+            first, second, third = weights[b] * p, (1 - weights[b]) * m * u, (1 - weights[b]) * (1 - m) / (v + 1)
+            every, use = first + second + third, np.bincount(b, minlength=80)
+            weights = np.where(use > 0, (np.bincount(b, first / every, 80) + 0.01) / (use + 0.02), weights)
+            weights[0] = 0
+            m = float(min(0.999999, max(1e-6, (second / every).sum() / max(1e-9, ((second + third) / every).sum()))))
+    n, v, out = sum(word[1].values()), len(word[1]), []
+    for i, _, ws in split:
+        total = 0.0
+        for h, w in zip([None, *ws], ws):
+            x = weights[bucket(word[1][h])]
+            total += math.log10(x * pair[1][h, w] / max(1, word[1][h]) + (1 - x) * (m * word[1][w] / max(1, n) + (1 - m if n else 1) / (v + 1)))
+        out.append((i, total))
+    return out

@@ -56,6 +56,29 @@ def test_filters_follow_the_state(spark):
     assert {keys[0][0], keys[0][1], keys[0][2]} == known
 
 
+def test_filters_grow(spark):
+    """Shards without a filter, and ones that overflow, take any number of keys."""
+    before = counts(spark, ["x"] * 2)
+    made, state = linededup.build_filters(before.where("refs >= 2"), 3), before
+    for step in range(3):
+        after = materialise(linededup.changed(state, inserted=counts(spark, ["\n".join(f"{step} {i}" for i in range(600))] * 2)), "after")
+        made, state = materialise(linededup.updated_filters(made, state, after, 3, min_docs=2), "filters"), after
+    tables = {r.shard: linededup.CuckooFilter(0, np.frombuffer(bytes(r["filter"]), np.uint16)) for r in made.collect()}
+    assert sum(int((t.table != 0).sum()) for t in tables.values()) == state.count() == 1_801
+    keys = [linededup.keys("\n".join(f"{s} {i}" for s in range(3) for i in range(600)).encode())]
+    assert linededup.suspects(keys, tables, 3)[0] == set(keys[0])
+
+
+def test_exact_keys():
+    rng = np.random.default_rng(2)
+    hi, lo = rng.integers(-3, 3, 400), rng.integers(-(2**63), 2**63 - 1, 400)
+    made = linededup.Exact(hi, lo)
+    assert made.holds(hi, lo).all() and not made.holds(hi, lo ^ 1).any() and not made.holds(np.array([9]), lo[:1]).any()
+    key = lambda a, b: np.array([a, b], "<i8").tobytes()
+    assert made.among({key(hi[0], lo[0]), key(7, 7)}) == {key(hi[0], lo[0])}
+    assert linededup.Exact(hi[:0], lo[:0]).among({key(1, 1)}) == set()
+
+
 def test_joined_lines(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "own line")], docs.schema))
@@ -96,7 +119,7 @@ def test_windows_of_common_words():
 
 
 @pytest.mark.parametrize("spread", [0.02, 0.3])
-def test_vector_blocks(spark, spread):
+def test_vector_blocks(spark, spread, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 8))
     v = centres[rng.integers(0, 12, 400)] + spread * rng.normal(size=(400, 8))
@@ -104,6 +127,10 @@ def test_vector_blocks(spark, spread):
     rows = [(int(i), [float(x) for x in a.astype(np.float32)], int(i % 3 > 0)) for i, a in enumerate(v)]
     found = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=16)
     assert sorted(map(tuple, found.collect())) == sorted(brute.cosine(rows))
+    monkeypatch.setattr(covertree, "PIVOTS", 4)
+    named = [(f"v{i:03}", v, f"l{label}") for i, v, label in rows]
+    found = covertree.near_duplicates(spark.createDataFrame(named, "vec_id string, embedding array<float>, label string"), block=16)
+    assert sorted(map(tuple, found.collect())) == sorted(brute.cosine(named))
 
 
 def test_fingerprint_shards(spark, monkeypatch):

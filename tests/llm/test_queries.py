@@ -14,7 +14,7 @@ import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from textloom.llm import common, lengths, mixing, queries, sharding, toxicity
+from textloom.llm import common, interpolated_lm, lengths, mixing, queries, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, shard int, size string, `TEXT_crc32` string, contaminated string, hits string"
@@ -102,12 +102,26 @@ def test_lm_scoring(spark, where, odd):
     found = rows(queries.op5_lm_scoring(spark, path))
     expected = brute.language_model(documents(path, "doc_id", "text"))
     same([(*r[:5], round(r[5], 5)) for r in found], [(*r[:5], round(r[5], 5)) for r in expected])
-    assert all(np.isfinite(r[6]) and r[6] < 0 for r in found)
+    order = lambda r: (r[0] is None, r[0] or 0, r[-1])
+    for (i, score), (j, want) in zip(sorted(((r[0], r[6]) for r in found), key=order), sorted(brute.interpolated(documents(path, "doc_id", "text")), key=order), strict=True):
+        assert i == j and score == pytest.approx(want, rel=2e-4, abs=1e-3)
     if where == SF:
         held = [r for r in found if r[1]]
         assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_lm_levels(spark, monkeypatch):
+    """Blocks merged over three levels, and ids of text, give the scores of one level."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("cast(doc_id as string) as name", "text as body")
+    one = {r.doc_id: (r.n_known, r.base_score, r.score) for r in interpolated_lm.score_documents(docs, "name", "body").collect()}
+    monkeypatch.setattr(interpolated_lm, "FAN", 3)
+    monkeypatch.setattr(interpolated_lm, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(interpolated_lm, "CHUNK", 2_000)
+    for i, found in {r.doc_id: (r.n_known, r.base_score, r.score) for r in interpolated_lm.score_documents(docs, "name", "body").collect()}.items():
+        assert found == pytest.approx(one.pop(i), rel=1e-9)
+    assert not one
+
+
 @pytest.mark.parametrize("where", [SF, "odd"])
 def test_mixing(spark, where, odd):
     path = odd if where == "odd" else where
