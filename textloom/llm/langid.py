@@ -8,6 +8,7 @@ over the counts of (language, word): forward and backward passes give each piece
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -21,11 +22,26 @@ from pyspark.sql import types as T
 from textloom.llm.common import append_columns, in_fold, materialise
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: A word is scored in stretches of STRETCH characters and learned from in stretches of LEARNED, or of the longest piece if that is longer.
-STRETCH, LEARNED, ROUNDS, SMOOTHING, CACHE = 256, 16, 1, 0.1, 400_000
+#: A word is learned from and scored in stretches of STRETCH characters. Expectation-maximisation ends when no language's piece
+#: probabilities move by more than TOLERANCE in all (half the sum of absolute changes), or after MOST_ROUNDS.
+STRETCH, MOST_ROUNDS, TOLERANCE, SMOOTHING = 256, 5, 0.05, 0.1
+#: Words remembered in a task, and bytes of their scores; words counted before they are passed on.
+CACHE, CACHE_BYTES, COUNTED = 400_000, 100_000_000, 400_000
 MOST_LANGUAGES = 2_000
-#: Words are runs of letters, in lower case: digits and marks tell nothing of a language.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Longer words than this are learned from in numbers of a wider range, so that their probabilities don't vanish.
+NARROW = 24
+
+
+def class_of(kinds: str) -> str:
+    """A pattern's class of the characters whose Unicode category begins with one of kinds."""
+    held = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] in kinds]
+    starts = [c for c, before in zip(held, [-2, *held], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(held, [*held[1:], -2], strict=True) if c + 1 != after]
+    return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+#: Words are letters with the marks that combine with them, in lower case: digits and signs tell nothing of a language.
+LETTERS = re.compile(class_of("L") + class_of("LM") + "*")
 
 
 def pieces(path: str) -> list[str]:
@@ -131,20 +147,21 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, language: np.ndarray, table: np.ndarray, into: np.ndarray) -> None:
         """Adds to into (pieces + 1 x languages) the expected number of each piece over words' segmentations, counts times each."""
         n = len(words[0])
+        kind = np.float64 if n <= NARROW else np.longdouble
         steps = []
         for i, length, ids in self.stretches(words, n):
             there = np.flatnonzero(ids != self.size)
             if len(there):
-                steps.append((i, i + length, there, ids[there], table[ids[there], language[there]]))
-        alpha, beta = np.zeros((n + 1, len(words))), np.zeros((n + 1, len(words)))
+                steps.append((i, i + length, there, ids[there], table[ids[there], language[there]].astype(kind)))
+        alpha, beta = (np.zeros((n + 1, len(words)), kind) for _ in range(2))
         alpha[0], beta[n] = 1, 1
         for i, end, there, _, p in steps:
             alpha[end, there] += alpha[i, there] * p
         for i, end, there, _, p in reversed(steps):
             beta[i, there] += p * beta[end, there]
-        weight = counts / np.maximum(alpha[n], 1e-300)
+        weight = counts / np.maximum(alpha[n], np.finfo(kind).tiny)
         for i, end, there, ids, p in steps:
-            np.add.at(into, (ids, language[there]), alpha[i, there] * p * beta[end, there] * weight[there])
+            np.add.at(into, (ids, language[there]), (alpha[i, there] * p * beta[end, there] * weight[there]).astype(np.float64))
 
 
 @dataclass(frozen=True)
@@ -156,14 +173,13 @@ class LanguageModel:
 
 
 class Scorer:
-    """Log probabilities of words, remembered up to CACHE of them, and the languages of texts."""
+    """Log probabilities of words, remembered up to CACHE of them and CACHE_BYTES of scores, and the languages of texts."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, Lattice(model.vocabulary)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.rows = {}, np.zeros((0, len(self.model.languages)))
+        width = max(1, len(model.languages))
+        self.most = max(1, min(CACHE, CACHE_BYTES // (8 * width)))
+        self.known, self.rows = {}, np.zeros((1_024, width))
 
     def learn(self, words: set[str]) -> None:
         spell, score, table = self.lattice.spell, self.lattice.log_probability, self.model.table
@@ -173,36 +189,54 @@ class Scorer:
             own, spellings = groups[len(spelled)]
             own.append(w)
             spellings.append(spelled)
-        made, at = [self.rows], len(self.rows)
+        at = len(self.known)
+        while at + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         for n, (own, spellings) in groups.items():
             if n <= STRETCH:
-                made += [score(spellings[i : i + 4_096], table) for i in range(0, len(own), 4_096)]
+                for i in range(0, len(own), 4_096):
+                    self.rows[at + i : at + i + len(own[i : i + 4_096])] = score(spellings[i : i + 4_096], table)
             else:
-                made += [np.sum([score([s[i : i + STRETCH]], table) for i in range(0, n, STRETCH)], axis=0) for s in spellings]
+                for i, s in enumerate(spellings):
+                    self.rows[at + i] = np.sum([score([s[j : j + STRETCH]], table) for j in range(0, n, STRETCH)], axis=0)[0]
             self.known.update(zip(own, range(at, at + len(own)), strict=True))
             at += len(own)
-        self.rows = np.concatenate(made)
+
+    def total(self, words: Counter) -> np.ndarray:
+        """The summed scores of words, learned in parts that fit the cache."""
+        words, out = list(words.items()), np.zeros(self.rows.shape[1])
+        for i in range(0, len(words), self.most):
+            some = words[i : i + self.most]
+            new = {w for w, _ in some} - self.known.keys()
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = {w for w, _ in some}
+            self.learn(new)
+            out += np.array([n for _, n in some], float) @ self.rows[np.fromiter((self.known[w] for w, _ in some), np.int64, len(some))]
+        return out
 
     def languages(self, texts: list[str | None]):
         """(language, posterior probability) of each text."""
         for at in range(0, len(texts), 256):
             some = [LETTERS.findall(t.lower()) if t else [] for t in texts[at : at + 256]]
             new = set().union(*some) - self.known.keys()
-            if len(self.known) + len(new) > CACHE:
-                self.forget()
-                new = set().union(*some)
-            self.learn(new)
-            for text, words in zip(texts[at : at + 256], some, strict=True):
+            if len(self.known) + len(new) <= self.most:  # as a rule; else text by text, in parts
+                self.learn(new)
+            for words in some:
                 if not self.model.languages or not words:
                     yield "und", 0.0
                     continue
-                total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0) + self.model.prior
+                try:
+                    total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                except KeyError:
+                    total = self.total(Counter(words))
+                total = total + self.model.prior
                 best = int(np.argmax(total))
                 yield self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def word_counts(documents: DataFrame, text: Column, lang: Column) -> DataFrame:
-    """(lang, word, n) over all rows with both; words are cut to stretches of LEARNED characters, the start mark included."""
+    """(lang, word, n) over all rows with both."""
 
     def flush(total):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(total.values(), pa.int64())], names=["lang", "word", "n"])
@@ -212,7 +246,7 @@ def word_counts(documents: DataFrame, text: Column, lang: Column) -> DataFrame:
         for batch in batches:
             for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total.update((language, w) for w in LETTERS.findall(t.lower()))
-                if len(total) > CACHE:
+                if len(total) > COUNTED:
                     yield flush(total)
                     total.clear()
         if total:
@@ -221,7 +255,7 @@ def word_counts(documents: DataFrame, text: Column, lang: Column) -> DataFrame:
     return documents.select(text.alias("t"), lang.alias("l")).where("t is not null and l is not null").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(documents: DataFrame, text: Column, lang: Column, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> LanguageModel:
+def train(documents: DataFrame, text: Column, lang: Column, vocabulary: str = VOCABULARY, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> LanguageModel:
     """Learns from all rows whose text and lang are not null. vocabulary: a file on the driver, of fixed size, sent to the tasks."""
     known = pieces(vocabulary)
     spark = documents.sparkSession
@@ -241,13 +275,12 @@ def train(documents: DataFrame, text: Column, lang: Column, vocabulary: str = VO
             def expect(frames, shared=shared):
                 known, place, table = shared.value
                 lattice, into = Lattice(known), np.zeros_like(table)
-                learned = max(LEARNED, lattice.longest)
                 for pdf in frames:
                     groups = defaultdict(list)
                     for language, word, n in zip(pdf.lang, pdf.word, pdf.n, strict=True):
                         spelled = lattice.spell(word)
-                        for i in range(0, len(spelled), learned):
-                            part = spelled[i : i + learned]
+                        for i in range(0, len(spelled), STRETCH):
+                            part = spelled[i : i + STRETCH]
                             groups[len(part)].append((part, n, place[language]))
                     for group in groups.values():
                         some, n, language = zip(*group, strict=True)
@@ -263,8 +296,11 @@ def train(documents: DataFrame, text: Column, lang: Column, vocabulary: str = VO
             counts = np.zeros((size + 1, len(languages)))
             for r in rows:
                 counts[:, place[r.lang]] = np.frombuffer(r["counts"])
-            table = np.zeros_like(table)
+            before, table = table, np.zeros_like(table)
             table[:size] = (counts[:size] + SMOOTHING) / (counts[:size].sum(axis=0) + SMOOTHING * size)
+            shared.unpersist()
+            if np.abs(table - before).sum(axis=0).max() / 2 <= tolerance:
+                break
     every = sum(n for _, n in shares)
     return LanguageModel(known, languages, table, np.array([math.log(n / every) for _, n in shares]))
 
