@@ -50,3 +50,52 @@ def test_long_pieces_are_summed():
         return np.log(total[-1])
 
     assert langid.Lattice(vocabulary).log_probability(words, table) == pytest.approx(np.array([plain(w) for w in words]))
+
+
+def test_expected_counts_by_all_segmentations(monkeypatch):
+    vocabulary = ["▁", "a", "b", "ab", "ba", "▁a", "aba"]
+    table = np.array([[0.1, 0.3], [0.2, 0.1], [0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.1, 0.1], [0.2, 0.1], [0, 0]])
+    words, counts, language = ["▁abab", "▁baba", "▁aaba"], np.array([2.0, 1.0, 5.0]), np.array([0, 1, 1])
+
+    def cuts(word):
+        if not word:
+            yield []
+        for i, p in enumerate(vocabulary):
+            if word.startswith(p):
+                for rest in cuts(word[len(p) :]):
+                    yield [i, *rest]
+
+    want = np.zeros_like(table)
+    for word, n, at in zip(words, counts, language):
+        every = [(c, np.prod(table[c, at])) for c in cuts(word)]
+        assert langid.Lattice(vocabulary).log_probability([word], table)[0, at] == pytest.approx(np.log(sum(p for _, p in every)))
+        for c, p in every:
+            for i in c:
+                want[i, at] += n * p / sum(p for _, p in every)
+    for narrow in (24, 2):
+        monkeypatch.setattr(langid, "NARROW", narrow)
+        into = np.zeros_like(table)
+        langid.Lattice(vocabulary).expected(words, counts, language, table, into)
+        assert into == pytest.approx(want)
+
+
+def test_long_words_teach():
+    vocabulary = ["▁", *"abcdefgh"]
+    table = np.full((len(vocabulary) + 1, 1), 1e-6)
+    into = np.zeros_like(table)
+    langid.Lattice(vocabulary).expected(["▁" + "abcdefgh" * 31], np.array([3.0]), np.array([0]), table, into)
+    assert into[:, 0] == pytest.approx([3, *[93] * 8, 0])
+
+
+def test_words_keep_their_marks():
+    assert langid.LETTERS.findall("हिन्दी e\u0301té 漢字12x_y, \u0301") == ["हिन्दी", "e\u0301té", "漢字", "x", "y"]
+
+
+def test_small_caches_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, F.col("text"), F.col("lang"))
+    texts = [r.text for r in docs.select("text").collect()]
+    one = list(langid.Scorer(model).languages(texts))
+    monkeypatch.setattr(langid, "CACHE", 100)
+    for (a, p), (b, q) in zip(one, langid.Scorer(model).languages(texts), strict=True):
+        assert a == b and p == pytest.approx(q)
