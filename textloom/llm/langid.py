@@ -24,7 +24,7 @@ from textloom.llm.common import append_columns, in_fold, materialise
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: A word is learned from and scored in stretches of STRETCH characters. Expectation-maximisation ends when no language's piece
 #: probabilities move by more than TOLERANCE in all (half the sum of absolute changes), or after MOST_ROUNDS.
-STRETCH, MOST_ROUNDS, TOLERANCE, SMOOTHING = 256, 5, 0.05, 0.1
+STRETCH, MOST_ROUNDS, TOLERANCE, SMOOTHING = 256, 5, 0.1, 0.1
 #: Words remembered in a task, and bytes of their scores; words counted before they are passed on.
 CACHE, CACHE_BYTES, COUNTED = 400_000, 100_000_000, 400_000
 MOST_LANGUAGES = 2_000
@@ -32,16 +32,23 @@ MOST_LANGUAGES = 2_000
 NARROW = 24
 
 
-def class_of(kinds: str) -> str:
+def class_of(*kinds: str) -> str:
     """A pattern's class of the characters whose Unicode category begins with one of kinds."""
-    held = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] in kinds]
+    held = [c for c in range(0x110000) if unicodedata.category(chr(c)).startswith(kinds)]
     starts = [c for c, before in zip(held, [-2, *held], strict=False) if c != before + 1]
     ends = [c for c, after in zip(held, [*held[1:], -2], strict=True) if c + 1 != after]
     return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
 #: Words are letters with the marks that combine with them, in lower case: digits and signs tell nothing of a language.
-LETTERS = re.compile(class_of("L") + class_of("LM") + "*")
+LETTERS = re.compile(class_of("L") + class_of("L", "M") + "*")
+#: In texts without these, runs of what Python calls letters are the same words, and found in half the time.
+MARKED, PLAIN = re.compile(class_of("M", "Nl", "No")), re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    return (LETTERS if MARKED.search(text) else PLAIN).findall(text)
 
 
 def pieces(path: str) -> list[str]:
@@ -218,7 +225,7 @@ class Scorer:
     def languages(self, texts: list[str | None]):
         """(language, posterior probability) of each text."""
         for at in range(0, len(texts), 256):
-            some = [LETTERS.findall(t.lower()) if t else [] for t in texts[at : at + 256]]
+            some = list(map(words_of, texts[at : at + 256]))
             new = set().union(*some) - self.known.keys()
             if len(self.known) + len(new) <= self.most:  # as a rule; else text by text, in parts
                 self.learn(new)
@@ -245,7 +252,7 @@ def word_counts(documents: DataFrame, text: Column, lang: Column) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for t, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.update((language, w) for w in LETTERS.findall(t.lower()))
+                total.update((language, w) for w in words_of(t))
                 if len(total) > COUNTED:
                     yield flush(total)
                     total.clear()
