@@ -32,23 +32,25 @@ MOST_LANGUAGES = 2_000
 NARROW = 24
 
 
-def class_of(*kinds: str) -> str:
-    """A pattern's class of the characters whose Unicode category begins with one of kinds."""
-    held = [c for c in range(0x110000) if unicodedata.category(chr(c)).startswith(kinds)]
+def class_of(kinds: str, first: int, last: int) -> str:
+    """A pattern's class of the characters from first to last whose Unicode category begins with one of kinds."""
+    held = [c for c in range(first, last + 1) if unicodedata.category(chr(c))[0] in kinds]
     starts = [c for c, before in zip(held, [-2, *held], strict=False) if c != before + 1]
     ends = [c for c, after in zip(held, [*held[1:], -2], strict=True) if c + 1 != after]
     return "[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]"
 
 
+def run_of(kinds: str) -> str:
+    """A run of characters of these kinds, or one from beyond the first 65,536, whose many ranges are tried on such characters only."""
+    return rf"(?:{class_of(kinds, 0, 0xFFFF)}+|(?=[\U00010000-\U0010FFFF]){class_of(kinds, 0x10000, 0x10FFFF)})"
+
+
 #: Words are letters with the marks that combine with them, in lower case: digits and signs tell nothing of a language.
-LETTERS = re.compile(class_of("L") + class_of("L", "M") + "*")
-#: In texts without these, runs of what Python calls letters are the same words, and found in half the time.
-MARKED, PLAIN = re.compile(class_of("M", "Nl", "No")), re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(f"{run_of('L')}{run_of('LM')}*")
 
 
 def words_of(text: str | None) -> list[str]:
-    text = (text or "").lower()
-    return (LETTERS if MARKED.search(text) else PLAIN).findall(text)
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def pieces(path: str) -> list[str]:
