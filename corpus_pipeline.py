@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with shard, 0 to 15, and slot, its place there."""
-    placed = sharding.with_shard(docs, sharding.Tree.of(16), F.col("doc_id"))
+    placed = materialise(sharding.with_shard(docs, sharding.Tree.of(16), F.col("doc_id")), "sharded")  # else the draws are made thrice
     return sharding.with_slot(placed, "shard", [F.col("doc_id"), F.xxhash64("text")])
 
 
