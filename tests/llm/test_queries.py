@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
+from tests.compare import database, differences
 from tests.llm import brute
 
 from textloom.llm import common, interpolated_lm, lengths, mixing, queries, sharding, toxicity
@@ -196,6 +197,13 @@ def test_token_counts(spark, where, odd):
         assert lengths.at_limit(table, limit) == {"docs": len(n), "tokens": int(n.sum()), "docs_cut": int((n > limit).sum()), "tokens_within": int(np.minimum(n, limit).sum())}
 
 
+@pytest.mark.parametrize("where", [SF, "odd"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, where, odd, name):
+    path = odd if where == "odd" else where
+    assert differences(queries.queries()[name](spark, path), database(path), queries.oracle_sql()[name]) is None
+
+
 def test_language_id(spark, odd):
     found = queries.op1_language_id(spark, SF).toPandas()
     held = found.merge(pd.read_parquet(f"{SF}/documents.parquet"), on="doc_id").query("held_out")

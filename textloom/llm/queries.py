@@ -72,4 +72,32 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-ORACLES: dict[str, str] = {}
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The same results in DuckDB's SQL. The others need CRC-32, XXH64, tokenizers, compression or learning, which it lacks.
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.k IS NULL), '')) AS kept_sha256 FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY r, doc_id""",
+    "op6_mixing": r"""WITH docs AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS rnd FROM documents),
+sized AS (SELECT source, sum(size) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM docs GROUP BY source),
+steps AS (SELECT (1.5 * sum(n) OVER () - coalesce(sum(2.0 * n) OVER before, 0)) / sum(w) OVER (ORDER BY 2.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit, 2.0 * n / w AS ratio FROM sized WINDOW before AS (ORDER BY 2.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (SELECT source, CAST(n AS BIGINT) AS n, CAST(least((SELECT arg_min(unit, ratio) FROM steps WHERE unit <= ratio) * w, 2.0 * n) AS DOUBLE) AS target FROM sized),
+placed AS (SELECT d.*, g.n, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY rnd, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start, CASE WHEN g.n > 0 THEN floor(floor(target) / g.n) ELSE 0 END AS whole FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, n AS source_size, target, CAST(whole * size + greatest(0, least(size, floor(target) - whole * n - start)) AS BIGINT) AS taken FROM placed""",
+    "op7_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format(LOW)} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS.format(LOW)} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, s, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT item, w, least(8, len(w)) AS s, unnest(range(1, greatest(2, len(w) - 6))) AS i FROM items WHERE len(w) > 0)),
+found AS (SELECT DISTINCT r, i, s, item FROM (SELECT r, s, i, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM docs, (SELECT DISTINCT s FROM windows))) JOIN windows USING (s, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + s)) AS p FROM found) GROUP BY r), held AS (SELECT r, list_sort(list(DISTINCT item)) AS ids FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(len(ids), 0) >= 2 AS contaminated FROM docs LEFT JOIN hit USING (r) LEFT JOIN held USING (r)""",
+    "op8_embedding_near_dedup": """WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (SELECT r, vec_id, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM vectors WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach AS (SELECT r, r AS o FROM vectors UNION SELECT reach.r, y FROM reach JOIN links ON o = x),
+least AS (SELECT reach.r, min(vec_id) AS c FROM reach JOIN vectors ON o = vectors.r GROUP BY reach.r), degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, coalesce(vec_id = c, false) AS kept FROM vectors JOIN least USING (r) LEFT JOIN degrees ON r = x""",
+}
