@@ -13,6 +13,8 @@ def database(sf_dir):
     db = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):
+            continue
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     return db
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions.settings import Settings
-from textloom.operators.chunking import chunks
+from textloom.operators.chunking import chunks, tail
 from textloom.operators.splitting import parts, pieces, split
 from textloom.sources.books import body
 
@@ -41,7 +41,7 @@ def test_split(spark):
     assert [tuple(r) for r in split(df, "i", "t", 2, 0).orderBy("document_id", "ordinal").collect()] == [(1, 0, "a"), (1, 1, "b")]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["# One", "## Two", "words of a paragraph that goes on for a while and ends here.", "```\ncode = 1\n\n\nmore = 2\n```", "", "short"]), max_size=40))
 def test_chunks(lines):
     text = "\n\n".join(lines)
@@ -66,3 +66,11 @@ def test_settings():
         Settings().require(Settings(floor=0.5).fingerprint())
     with pytest.raises(ValueError, match="chunk_overlap.*; top_k"):
         Settings(chunk_overlap=700, top_k=0)
+
+
+def test_overlap_has_no_empty_first_line():
+    prose = "words of a paragraph that goes on for a while and ends here."
+    found = list(chunks("\n\n".join([prose, prose, prose, "short", prose]), 200, 40, 10))
+    assert all(chunk == chunk.strip() for _, chunk in found) and found[1][1].startswith("short\n\n")
+    assert tail("a line\n\nlast one", 12) == "last one" and tail("first\nlast one", 100) == "first\nlast one"
+    assert tail("one long line of many words", 10) == "words" and tail("a" * 30, 10) == "a" * 10 and tail("text\n```", 50) == "" and tail("", 5) == ""

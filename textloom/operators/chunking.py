@@ -57,16 +57,20 @@ def cut(text: str, size: int):
 
 
 def tail(text: str, most: int) -> str:
-    """Whole last lines of up to most characters; of one long line its last words."""
-    kept: list[str] = []
+    """The last lines that fit in most characters, at least one, none of a code block; of a line that is longer its last whole words."""
+    if most <= 0:
+        return ""
+    kept, size = [], 0
     for line in reversed(text.split("\n")):
-        if line.lstrip().startswith("```") or len("\n".join([line, *kept])) > most:
+        size += len(line) + 1
+        if line.lstrip().startswith("```") or kept and size > most:
             break
-        kept.insert(0, line)
-    if kept or not text or text.rstrip().endswith("```"):
-        return "\n".join(kept)
-    last = text.split("\n")[-1][-most:]
-    return last.split(" ", 1)[1] if " " in last else ""
+        kept.append(line)
+    found = "\n".join(reversed(kept)).strip()
+    if len(found) > most:
+        found = found[-most:]
+        found = found.partition(" ")[2] or found
+    return found.strip()
 
 
 def chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str | None, str]]:
