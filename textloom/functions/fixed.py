@@ -61,3 +61,17 @@ LD_DATES = ["datePublished", "dateCreated", "uploadDate"]
 # Dates in prose.
 MONTHS = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 DATE_PATTERNS = [rf"\b{MONTHS}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", rf"\b(\d{{1,2}})\s+{MONTHS}\.?,?\s+(\d{{4}})\b", r"\b(\d{4})-(\d{2})-(\d{2})\b"]
+
+# What a status says to people.
+STATUS_MESSAGES = {
+    "stored": "Stored successfully.", "invalid_url": "Not a valid URL, even after attempting repair.", "robots_disallowed": "Skipped: robots.txt disallows crawling this page.", "rate_limited": "Skipped: rate limit reached. Try again later.",
+    "login_required": "Cannot scrape: this page requires a login.", "paywall_partial": "Cannot scrape: article is behind a paywall (only a teaser is public).", "bot_wall": "Cannot scrape: the site is behind a bot check or CAPTCHA.",
+    "fetch_failed": "Could not fetch the page.", "extraction_failed": "Fetched the page, but found no article text in it.", "junk": "Extracted text failed the quality checks.", "duplicate_url": "Already crawled: this URL is already stored.",
+    "duplicate_content": "Already stored under a different URL (identical text).", "duplicate_near": "Near-duplicate of an article already stored.", "api_rejected": "The documents API rejected this document.",
+}
+# Characters that a stored document's fields may have.
+TITLE_CHARS, URL_CHARS, SOURCE_CHARS = 500, 2000, 200
+# The last messages that a summary leaves, and the estimated tokens below which none is made.
+KEEP_MESSAGES, SUMMARY_TOKENS = 6, 6000
+# Characters of a product's text in the graph.
+GRAPH_TEXT_CHARS = 4000

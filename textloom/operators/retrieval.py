@@ -23,13 +23,15 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank) by Okapi BM25; queries (query_id, term), docs (doc_id, terms)."""
-    terms = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    queries = queries.distinct()
+    asked = queries.select("term").distinct()
+    terms = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked, "term", "left_semi")  # only terms that are asked for are counted
     tf = terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(queries.distinct(), "term").join(df, "term").crossJoin(F.broadcast(stats))
+    hits = tf.join(queries, "term").join(df, "term").crossJoin(F.broadcast(stats))
     return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")), "query_id", "score", "doc_id", k)
 
 

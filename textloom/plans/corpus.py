@@ -1,5 +1,8 @@
 """Queries over documents and pages: cleaning, statuses, duplicates, quality report, chunks."""
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +67,6 @@ def status_groups(spark, sf_dir):
     return dim.join(counts, "status", "left").select("status", "status_group", F.coalesce("c", F.lit(0)).alias("n"))
 
 
-@query(STATUS + "SELECT count(*) AS total, count(*) FILTER (status = 'stored') + count(*) FILTER (status <> 'stored') = count(*) AS whole FROM status")
-def partition_integrity(spark, sf_dir):
-    return statuses(spark, sf_dir).agg(F.count("*").alias("total"), (F.count_if(F.col("status") == "stored") + F.count_if(F.col("status") != "stored") == F.count("*")).alias("whole"))
-
-
 @query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_duplicate_groups(spark, sf_dir):
     return dedupe.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
@@ -80,7 +78,13 @@ def shingle_counts(spark, sf_dir):
 
 
 def set_checkpoints(spark) -> None:
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/textloom-checkpoints"))
+    """The folder that spark.checkpoint.dir names; where it names none, a local session (as in tests) gets one of this machine, and on a cluster that is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="textloom-"))
 
 
 @query()
