@@ -13,7 +13,7 @@ from textloom.llm.common import append_columns
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this public vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 1_024
+BLOCK = 128
 
 
 def encoder(data: bytes) -> tiktoken.Encoding:
