@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import answers, text
 from textloom.functions.calculator import calculate
+from textloom.plans.corpus import set_checkpoints
 from textloom.operators import dedupe
 from textloom.operators.evaluation import drift
 from textloom.sources import feeds, reports
@@ -39,10 +40,11 @@ def test_shingles(spark):
 
 
 def test_similar_pairs_against_all_pairs(spark):
+    set_checkpoints(spark)
     base = [f"w{i % 23}x{i}" for i in range(60)]
     texts = [" ".join(base), " ".join(base[:59]), " ".join(base[:55]), " ".join(base[:40]), " ".join(["other", *base[1:]]), "short text", "short text", "text short", "", None]
     rows = list(enumerate(texts))
-    found = {(r["a"], r["b"]): round(r["similarity"], 9) for r in dedupe.similar_pairs(spark.createDataFrame(rows, "id int, text string"), "id", F.col("text"), 0.85).collect()}
+    found = {(r["a"], r["b"]): round(r["similarity"], 9) for r in dedupe.similar_pairs(dedupe.shingle_sets(spark.createDataFrame(rows, "id int, text string"), "id", F.col("text")), 0.85).collect()}
     sets, first = {}, {}
     for i, t in rows:
         words = (t or "").split()

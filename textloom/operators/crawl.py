@@ -53,7 +53,8 @@ def outcomes(landing: DataFrame, threshold: float = 0.85) -> DataFrame:
     kept = base.where("early is null")
     firsts = kept.groupBy("hash").agg(F.min("id").alias("rep"))
     reps = kept.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
-    pairs, same = dedupe.similar_pairs(reps, "id", F.col("text"), threshold).checkpoint(), dedupe.copies(reps, "id", F.col("text"))
+    sets = dedupe.shingle_sets(reps, "id", F.col("text"))
+    pairs, same = dedupe.similar_pairs(sets, threshold).checkpoint(), dedupe.copies(sets)
     decided = dedupe.resolve_all(reps, "id", pairs, same).join(same, "id", "left").select("id", "kept", F.coalesce("representative", "id").alias("set")).checkpoint()
     stored = decided.where("kept").select(F.col("id").alias("a"))
     near = pairs.join(stored, "a").groupBy(F.col("b").alias("set")).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("near_id"), F.max("similarity").alias("near"))

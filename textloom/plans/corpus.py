@@ -19,10 +19,21 @@ STATUS = CLEAN + """hashed AS (SELECT doc_id, lang, source, t, length(t) AS char
 status AS (SELECT *, CASE WHEN chars = 0 THEN 'extraction_failed' WHEN chars < 300 THEN 'junk' WHEN doc_id > min(CASE WHEN chars >= 300 THEN doc_id END) OVER (PARTITION BY hash) THEN 'duplicate_content' ELSE 'stored' END AS status FROM hashed) """
 
 
+def set_checkpoints(spark) -> None:
+    """The folder that spark.checkpoint.dir names; where it names none, a local session (as in tests) gets one of this machine, and on a cluster that is an error."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="textloom-"))
+
+
 def statuses(spark, sf_dir) -> DataFrame:
-    """(doc_id, lang, source, t, chars, hash, status): empty, too short, an exact copy of a text stored before, or stored."""
+    """(doc_id, lang, source, chars, hash, status): empty, too short, an exact copy of a text stored before, or stored. Texts are cleaned once; the copies are found among narrow, written rows."""
+    set_checkpoints(spark)
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", tx.normalised(F.col("text")).alias("t"))
-    d = d.withColumns({"chars": F.length("t"), "hash": F.sha2("t", 256)})
+    d = d.select("doc_id", "lang", "source", F.length("t").alias("chars"), F.sha2("t", 256).alias("hash")).checkpoint()
     first = d.where("chars >= 300").groupBy("hash").agg(F.min("doc_id").alias("first"))
     status = F.when(F.col("chars") == 0, "extraction_failed").when(F.col("chars") < 300, "junk").when(F.col("doc_id") > F.col("first"), "duplicate_content").otherwise("stored")
     return d.join(first, "hash", "left").withColumn("status", status)
@@ -53,7 +64,8 @@ def length_stats(spark, sf_dir):
 
 @query(STATUS + "SELECT doc_id, CAST(chars AS BIGINT) AS chars, row_number() OVER (ORDER BY chars, doc_id) AS rank, substr(t, 1, 600) AS excerpt, chars > 600 AS truncated FROM status WHERE status = 'stored' ORDER BY chars, doc_id LIMIT 5")
 def shortest_stored(spark, sf_dir):
-    five = statuses(spark, sf_dir).where("status = 'stored'").orderBy("chars", "doc_id").limit(5)
+    five = statuses(spark, sf_dir).where("status = 'stored'").orderBy("chars", "doc_id").limit(5).select("doc_id", "chars")
+    five = table(spark, sf_dir, "documents").join(F.broadcast(five), "doc_id").withColumn("t", tx.normalised(F.col("text")))
     return five.select("doc_id", F.col("chars").cast("long").alias("chars"), F.row_number().over(Window.orderBy("chars", "doc_id")).cast("long").alias("rank"), F.substring("t", 1, 600).alias("excerpt"), (F.col("chars") > 600).alias("truncated"))
 
 
@@ -77,16 +89,6 @@ def shingle_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
 
-def set_checkpoints(spark) -> None:
-    """The folder that spark.checkpoint.dir names; where it names none, a local session (as in tests) gets one of this machine, and on a cluster that is an error."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="textloom-"))
-
-
 @query()
 def near_duplicate_pairs(spark, sf_dir):
     """Jaccard pairs of whole texts; SQL over all pairs is too slow.
@@ -95,9 +97,9 @@ def near_duplicate_pairs(spark, sf_dir):
     other sets are between least ids. So copies of a pair's ends pair likewise, and n copies give n rows, not n squared.
     """
     set_checkpoints(spark)
-    docs = table(spark, sf_dir, "documents")
-    found = dedupe.similar_pairs(docs, "doc_id", F.col("text")).select("a", "b", F.round("similarity", 6).alias("similarity"))
-    same = dedupe.copies(docs, "doc_id", F.col("text"))
+    sets = dedupe.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    found = dedupe.similar_pairs(sets).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    same = dedupe.copies(sets)
     return found.unionByName(same.select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
 
 
@@ -106,8 +108,8 @@ def greedy_near_duplicates(spark, sf_dir):
     """Whether each document stays; SQL can't express the rounds."""
     set_checkpoints(spark)
     docs = table(spark, sf_dir, "documents")
-    pairs = dedupe.similar_pairs(docs, "doc_id", F.col("text")).checkpoint()
-    return dedupe.resolve_all(docs, "doc_id", pairs, dedupe.copies(docs, "doc_id", F.col("text")))
+    sets = dedupe.shingle_sets(docs, "doc_id", F.col("text"))
+    return dedupe.resolve_all(docs, "doc_id", dedupe.similar_pairs(sets).checkpoint(), dedupe.copies(sets))
 
 
 @query("SELECT doc_id, length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_chars, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_md5 FROM documents")
