@@ -44,10 +44,10 @@ class Words(dict):
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """64 bits, the last of which tells words from bigrams: a shared key makes two n-grams one, which of n words or bigrams about n * n / 2**64 pairs do."""
+    """60 bits, the last of which tells words from bigrams: a shared key makes two n-grams one, which of n words or bigrams about n * n / 2**60 pairs do."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(4)
 
 
 def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """Rises with the key, so that a chunk's keys of a shard are a stretch."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    return ((keys >> np.uint64(28)) * np.uint64(shards)) >> np.uint64(32)
 
 
 class Chunk:
