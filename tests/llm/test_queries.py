@@ -222,25 +222,26 @@ def test_toxicity(spark, odd):
     held = found.merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id").query("held_out")
     hit = held[held.predicted == 1]
     assert ((found.score >= 0.3) == (found.predicted == 1)).all() and found.score.between(0, 1).all()
-    assert (hit.toxic == 1).mean() > 0.7 and (held[held.toxic == 1].predicted == 1).mean() >= 0.35
+    assert (hit.toxic == 1).mean() > 0.8 and (held[held.toxic == 1].predicted == 1).mean() >= 0.4
     scores = {r[0]: r[2] for r in rows(queries.op10_toxicity(spark, odd)) if r[0] is not None}
     assert len(rows(queries.op10_toxicity(spark, odd))) == len(documents(odd, "doc_id"))
     assert scores[3] == scores[4] == scores[5]  # null, empty and blank texts have no windows
 
 
 def test_toxic_windows():
-    def plain(text):
+    def plain(text, size, step):
         words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
-        starts = [*range(0, max(0, len(words) - 4) + 1, 3)] if words else []
-        if words and len(words) > 4 and starts[-1] + 4 < len(words):
-            starts.append(len(words) - 4)
-        return [(words[i][0], words[min(i + 4, len(words)) - 1][1] - words[i][0]) for i in starts]
+        starts = [*range(0, max(0, len(words) - size) + 1, step)] if words else []
+        if words and len(words) > size and starts[-1] + size < len(words):
+            starts.append(len(words) - size)
+        return [(words[i][0], words[min(i + size, len(words)) - 1][1] - words[i][0]) for i in starts]
 
     for text in (b"", b" \n", b"one", b" a b  c\td ", b"a b c d e", b"a b c d e f", " é ß x\x0by z ".encode(), b"x " * 1_001):
-        assert [tuple(map(int, w)) for w in toxicity.windows_of(text)] == plain(text)
+        for size, step in ((4, 3), (toxicity.WORDS, toxicity.STEP)):
+            assert [tuple(map(int, w)) for w in toxicity.windows_of(text, size, step)] == plain(text, size, step)
     one = toxicity.Dictionary(b"some words that a dictionary may hold for a test " * 3)
     text = b"words that a dictionary may hold, and other words"
-    every = toxicity.windows_of(text)
+    every = toxicity.windows_of(text, 4, 3)
     assert one.lengths(text, every).tolist() == [len(one.compressor.compress(text[int(a) : int(a + n)])) for a, n in every]
 
 

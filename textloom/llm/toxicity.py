@@ -1,12 +1,13 @@
 """Toxicity by compression distance: two zstandard dictionaries, and windows of words that the toxic one shortens more.
 
-A window is a run of WORDS words, a new one every STEP words. Both dictionaries end with the same ordinary training windows, so an
-ordinary window costs the same under either; before these the ordinary one has more ordinary windows, the toxic one toxic windows
-in the same place and of the same size. Most windows of a toxic document are ordinary, so the toxic ones are found by compression too, in rounds:
-toxic documents are split into two folds, each fold's dictionary shortens the other's windows, those it shortens
-more than nearly all ordinary windows are kept and trimmed to what ordinary training text seldom holds, and the dictionaries are made anew from what
-is kept and a fresh draw of windows. A threshold on the bytes saved and a logistic curve over a document's windows give the score; both are
-fitted to folds that their dictionaries have not seen.
+A window is a run of WORDS words, a new one every STEP words; of fewer words zstandard would store most windows as they are, under either
+dictionary. Both dictionaries end with the same ordinary training windows, so an ordinary window costs the same under either; before
+these the toxic one has toxic windows, the ordinary one blanks of the same size. Most windows of a toxic document are ordinary, so the
+toxic ones are found by compression too, in rounds: toxic documents are split into two folds, each fold's dictionary shortens the
+other's windows, those it shortens more than nearly all ordinary windows are kept and trimmed to what ordinary training text seldom
+holds, and the dictionaries are made anew from what is kept and a fresh draw of windows, in the rounds of ordinary windows too. A
+threshold on the bytes saved and a logistic curve over a document's windows give the score; both are fitted to folds that their
+dictionaries have not seen.
 """
 
 import math
@@ -25,10 +26,10 @@ from textloom.llm.simhash import fingerprint
 
 #: At most so many labelled documents of each class train the model, those of least hash.
 SAMPLE = 2_000
-WORDS, STEP, LEVEL = 4, 3, 15
+WORDS, STEP, LEVEL = 16, 12, 15
 SHARED_BYTES, OWN_BYTES = 12_000, 4_096
 #: Rounds of selection; documents of each class read in one; the share of ordinary windows that a kept window must outdo; bytes of a segment.
-ROUNDS, ROUND_DOCS, OUTDO, GRAM = 16, 150, 0.999, 4
+ROUNDS, ROUND_DOCS, OUTDO, GRAM = 16, 150, 0.999, 5
 #: Windows compressed at once.
 BATCH = 65_536
 FEATURES = 4
@@ -124,9 +125,9 @@ def apart(docs: list[bytes], bits: int = 6) -> list[bytes]:
 def grams(text: bytes) -> np.ndarray:
     """The distinct runs of GRAM bytes of a text, as numbers."""
     if len(text) < GRAM:
-        return np.zeros(0, np.uint32)
-    codes = np.frombuffer(text, np.uint8).astype(np.uint32)
-    return np.unique(sum(codes[i : len(codes) - GRAM + 1 + i] << np.uint32(8 * i) for i in range(GRAM)))
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(text, np.uint8).astype(np.uint64)
+    return np.unique(sum(codes[i : len(codes) - GRAM + 1 + i] << np.uint64(8 * i) for i in range(GRAM)))
 
 
 class Trainer:
@@ -142,11 +143,13 @@ class Trainer:
 
     @staticmethod
     def marking(toxic: list[bytes], ordinary: list[bytes]) -> set[int]:
-        """Runs of GRAM bytes in three toxic documents or more, and over four times as frequent there as in ordinary ones."""
-        (a, n), (b, m) = (np.unique(np.concatenate([np.zeros(0, np.uint32), *map(grams, docs)]), return_counts=True) for docs in (toxic, ordinary))
+        """Runs of GRAM bytes over four times as frequent in toxic documents as in ordinary ones, beyond chance: by the bound on a binomial tail, less than one run is expected to be so by chance."""
+        (a, n), (b, m) = (np.unique(np.concatenate([np.zeros(0, np.uint64), *map(grams, docs)]), return_counts=True) for docs in (toxic, ordinary))
         at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-        there = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a))
-        return set(a[(n >= 3) & (n * len(ordinary) > 4 * there * len(toxic))].tolist())
+        there = np.where(b[at] == a, m[at], 0) if len(b) else np.zeros(len(a), np.int64)
+        share, even = n / (n + there), len(toxic) / (len(toxic) + len(ordinary))
+        surprise = n * np.log(share / even) + there * np.log(np.maximum(1 - share, 1e-300) / (1 - even))
+        return set(a[(n * len(ordinary) > 4 * there * len(toxic)) & (surprise > math.log(max(1, len(a))))].tolist())
 
     def drawn(self, docs: list, size: int) -> bytes:
         """Windows of docs, drawn at random, up to size bytes."""
@@ -168,11 +171,11 @@ class Trainer:
         return b" ".join(window[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
 
     def spread(self, segments: list[bytes], size: int, most: int) -> bytes:
-        """Segments in random order up to size bytes, leaving out those whose runs are all there most times already."""
+        """Segments in random order up to size bytes, leaving out those of whose runs over half are there most times already."""
         out, room, seen = [], size, Counter()
         for i in self.draw.permutation(len(segments)):
             own = self.marks.intersection(grams(segments[i]).tolist())
-            if len(segments[i]) < room and any(seen[g] < most for g in own):
+            if own and len(segments[i]) < room and 2 * sum(seen[g] < most for g in own) >= len(own):
                 out.append(segments[i])
                 room -= len(segments[i]) + 1
                 seen.update(own)
@@ -221,7 +224,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], stands: tuple[float, float] =
     made = Trainer(toxic, ordinary)
     made.select(rounds)
     own = made.toxic((0, 1))
-    plain = made.ordinary(len(own))
+    plain = made.laid(b"")
     gains, y = [], []
     for fold in (0, 1):  # each half of the texts is measured by what the other half of the toxic ones gave
         windows = Windows(plain, made.laid(made.toxic((1 - fold,))))
