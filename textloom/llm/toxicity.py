@@ -26,7 +26,7 @@ from textloom.llm.simhash import fingerprint
 
 #: At most so many labelled documents of each class train the model, those of least hash.
 SAMPLE = 2_000
-WORDS, STEP, LEVEL = 16, 12, 15
+WORDS, STEP, LEVEL = 16, 12, 9
 SHARED_BYTES, OWN_BYTES = 12_000, 4_096
 #: Rounds of selection; documents of each class read in one; the share of ordinary windows that a kept window must outdo; bytes of a segment.
 ROUNDS, ROUND_DOCS, OUTDO, GRAM = 16, 150, 0.999, 5
