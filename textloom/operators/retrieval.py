@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import nearest
+
 K1, B, RRF = 1.5, 0.75, 60
 
 
@@ -16,8 +18,11 @@ def top_k(pairs: DataFrame, query: str, score: str, tie: str, k: int) -> DataFra
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, label, similarity, rank) for a stated query set (query_id, qv) of bounded size, sent to all of corpus (vec_id, embedding, label)."""
-    pairs = corpus.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", "label", F.round(dot(F.col("qv"), F.col("embedding")), 6).alias("similarity"))
+    """(queries' columns but qv, vec_id, label, similarity, rank) for a stated query set (query_id, qv, more) against all of corpus (vec_id, embedding, label).
+
+    Exact: every query meets every row, in blocks of a matrix product; see nearest. The work is queries times rows, a task's memory is not.
+    """
+    pairs = nearest.candidates(queries, corpus.select("vec_id", "embedding", "label"), k).withColumn("similarity", F.round("raw", 6)).drop("raw")
     return top_k(pairs, "query_id", "similarity", "vec_id", k)
 
 

@@ -16,15 +16,7 @@ SIMS = f"WITH sims AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label A
 def ranked(spark, sf_dir, k=12):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("wanted"))
-    # The query set grows with the table: it goes out in blocks of bounded size.
-    blocks = max(1, -(-q.count() // 5_000))
-    out = None
-    for b in range(blocks):
-        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = e.crossJoin(F.broadcast(some)).where("vec_id <> query_id").select("query_id", "wanted", "vec_id", "label", F.round(rt.dot(F.col("qv"), F.col("embedding")), 6).alias("similarity"))
-        part = rt.top_k(pairs, "query_id", "similarity", "vec_id", k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rt.vector_top_k(q, e, k)
 
 
 @query(SIMS + "SELECT query_id, vec_id, label, similarity, rank FROM ranked WHERE rank <= 12")
