@@ -3,9 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import nearest
+from textloom.operators import keywords, nearest
 
-K1, B, RRF = 1.5, 0.75, 60
+RRF = 60
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -14,7 +14,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def top_k(pairs: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
     """pairs with rank 1 to k in each query: higher scores first, ties by the lower tie."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), F.asc_nulls_last(tie)))).where(F.col("rank") <= k)
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -27,17 +27,9 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) by Okapi BM25; queries (query_id, term), docs (doc_id, terms)."""
-    queries = queries.distinct()
-    asked = queries.select("term").distinct()
-    terms = docs.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(asked, "term", "left_semi")  # only terms that are asked for are counted
-    tf = terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(queries, "term").join(df, "term").crossJoin(F.broadcast(stats))
-    return top_k(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score")), "query_id", "score", "doc_id", k)
+    """(query_id, doc_id, score, rank) by Okapi BM25 of the texts that share a term; queries (query_id, term), docs (doc_id, text). Needs a checkpoint folder."""
+    hits = keywords.candidates(queries, docs, k)
+    return top_k(hits.select("query_id", "doc_id", F.round("raw", 6).alias("score")), "query_id", "score", "doc_id", k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int) -> DataFrame:

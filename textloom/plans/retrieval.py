@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import tokens
 from textloom.operators import retrieval as rt
+from textloom.plans.corpus import set_checkpoints
 from textloom.plans.registry import query
 from textloom.sources.tables import table
 
@@ -80,7 +81,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def keyword_ranked(spark, sf_dir, k=12):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("terms"))
+    set_checkpoints(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
     return rt.bm25(queries, docs, k)
 
