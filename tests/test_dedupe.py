@@ -50,3 +50,13 @@ def test_greedy_decides_every_id(spark, tmp_path):
     _, kept = brute()
     found = [tuple(r) for r in catalogue.queries()["greedy_near_duplicates"](spark, written(spark, tmp_path)).select("id", F.col("kept")).collect()]
     assert len(found) == len(TEXTS) and dict(found) == kept
+
+
+def test_hashes_are_of_shingles(spark):
+    """As many hashes as distinct shingles, sorted, and the same for the same shingles; made without joining tokens."""
+    from textloom.functions import text as tx
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, t string").select("id", tx.shingles(F.col("t")).alias("w"), tx.shingle_hashes(F.col("t")).alias("h"))
+    found = {r.id: r for r in df.collect()}
+    assert all((r.w is None) == (r.h is None) and r.h == (None if r.h is None else sorted(set(r.h))) and len(r.w or []) == len(r.h or []) for r in found.values())
+    assert all((set(a.w or []) == set(b.w or [])) == ((a.h or []) == (b.h or [])) for a in found.values() for b in found.values())
