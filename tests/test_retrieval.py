@@ -9,6 +9,7 @@ from tests.compare import database, differences
 from textloom import catalogue
 from textloom.operators import keywords, nearest
 from textloom.operators import retrieval as rt
+from textloom.plans import operations
 
 VECTORS = ["vector_top_k", "recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score", "evidence_floor"]
 
@@ -90,3 +91,14 @@ def test_few_texts_leave_a_task(spark, texts, tmp_path):
     found = keywords.candidates(q, docs, 3).count()
     assert 20 * 3 <= found <= 20 * 3 * 2 * spark.sparkContext.defaultParallelism
     assert rt.bm25(q, docs, 3).count() == 60
+
+
+def test_baskets_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Partitions of shuffles grow with the lines (their number was fixed before)."""
+    r = random.Random(3)
+    rows = [(r.randint(1, 200), r.randint(1, 40)) for _ in range(1_000)] + [(7, None), (None, 3), (None, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(operations, "LINES", 50)
+    df = catalogue.queries()["bought_together"](spark, str(tmp_path))
+    assert differences(df, database(str(tmp_path)), catalogue.oracle_sql()["bought_together"]) is None
+    assert "hashpartitioning(src#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 21), REPARTITION_BY_NUM" in plan

@@ -114,10 +114,18 @@ def structured_count(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size >= 10").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.min("p_retailprice"), 2).alias("cheapest"))
 
 
+#: Lines of a partition of bought_together.
+LINES = 50_000
+
+
 @query("WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), c AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS n FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rank FROM c) SELECT src, dst, n, rank FROM r WHERE rank <= 2")
 def bought_together(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    pairs = e.select("l_orderkey", F.col("l_partkey").alias("src")).join(e.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """Shuffles have a partition for each 50,000 lines, so a task's memory doesn't grow with the table."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = max(1, -(-lines.count() // LINES))
+    e = lines.repartition(parts, "l_orderkey").distinct()
+    pairs = e.select("l_orderkey", F.col("l_partkey").alias("src")).join(e.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst").select("src", "dst")
+    pairs = pairs.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n")).repartition(parts, "src")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")).cast("long")).where("rank <= 2")
 
 
