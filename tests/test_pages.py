@@ -92,3 +92,13 @@ def test_answers(spark):
         text.grade(F.lit("verdict: partial")).alias("g"), text.grade(F.lit("none")).alias("n"), text.unsupported_phrases(F.lit("Then Mary Jones met Bob Smith. Mary Jones left"), F.lit("met Bob Smith")).alias("p")
     ).first()
     assert (one.g, one.n, one.p) == ("PARTIAL", None, ["Then Mary Jones", "Mary Jones"])
+
+
+def test_pages_in_small_pieces(spark, monkeypatch):
+    """Pages come back in order of columns and whole when a worker holds only two at a time."""
+    rows = [(i, f"https://a.b/{i}", None if i == 3 else f"<title>t{i}</title><p>text {i}</p>") for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(dom, "PAGES", 2)
+    found = dom.with_page(df, F.col("html"), F.col("url")).collect()
+    assert [r.id for r in found] == list(range(7)) and [r.page.title for r in found] == [None if i == 3 else f"t{i}" for i in range(7)]
+    assert found[0].__fields__ == ["id", "url", "html", "page"] and found[3].page.paid is None and found[4].page.paid is False
