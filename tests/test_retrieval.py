@@ -16,7 +16,7 @@ from textloom.plans import operations
 from textloom.plans.retrieval import SIMS
 
 VECTORS = ["vector_top_k", "recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score", "evidence_floor"]
-NEAR = ["recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles"]
+NEAR = ["recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score"]
 
 
 def stored(spark, path, rows):
