@@ -16,7 +16,7 @@ from textloom.plans import operations
 from textloom.plans.retrieval import SIMS
 
 VECTORS = ["vector_top_k", "recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score", "evidence_floor"]
-LONG = ["floor_sweep", "best_floor", "multi_query_union", "collapsed_articles"]
+LONG = ["floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score"]
 NEAR = ["recall_at_k", "floor_sweep", "best_floor", "multi_query_union", "collapsed_articles", "answer_score"]
 
 
